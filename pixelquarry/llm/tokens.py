@@ -1,16 +1,17 @@
-"""Token ids of whole texts by the ``tokenizers`` library, with a table of the pieces that its pre-tokenizer cuts.
-
-A byte-level BPE never merges across the pieces of its pre-tokenizer, so the ids
-of a text are the ids of its pieces in a row. Each distinct piece is encoded by
-the library once and its ids are remembered. Texts with characters for which
-this module doesn't know the library's character classes, or which hold an
-added token's string, are given to the library as they are.
+"""Token ids of whole texts by the ``tokenizers`` library, with a table of the words that were encoded before.
+
+A byte-level BPE never merges across the pieces that its pre-tokenizer cuts. In
+a text of single spaces and line ends each space or line end begins a piece, so
+the ids of what stands between them don't depend on what is around. Every
+distinct word is encoded by the library once in a batch and remembered. Other
+texts (white space in runs, characters above U+02AF, an added token's string)
+are given to the library as they are.
 """
 
 from __future__ import annotations
 
 import re
-import sys
+import struct
 import unicodedata
 from collections.abc import Sequence
 
@@ -19,18 +20,17 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 0
-#: Remembered pieces in one Python worker; the table is emptied when full. Longer pieces aren't kept.
-CACHED_PIECES, CACHED_CHARS = 300_000, 40
-_LAST = 0x2AF  # up to here the classes below are those of Unicode 5 and later
+#: Entries of each table in one Python worker; a full one is emptied, so memory stays bounded.
+CACHED, KEPT_CHARS = 800_000, 40
+_LAST = 0x2AF
 
 
 def _ranges(keep) -> str:
-    """Characters up to _LAST for which keep(category) holds, as the inside of a character class."""
+    """Characters up to _LAST for whose category keep() holds, as the inside of a character class."""
     out, run = [], None
     for c in range(_LAST + 2):
         if c <= _LAST and keep(unicodedata.category(chr(c))):
-            run = run or (c, c)
-            run = (run[0], c)
+            run = (run or (c, c))[0], c
         elif run:
             out.append(f"\\u{run[0]:04x}-\\u{run[1]:04x}")
             run = None
@@ -38,41 +38,52 @@ def _ranges(keep) -> str:
 
 
 _L, _N = _ranges(lambda k: k[0] == "L"), _ranges(lambda k: k[0] == "N")
-_S = "\\t-\\r \\x85\\xa0"
-_PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_ODD = re.compile("[^\\x00-\\u02af]")
-#: Where white space is single spaces and line ends not beside each other, every space begins a piece and belongs to it.
-_UNEVEN = re.compile("[\\t\\x0b-\\r\\x85\\xa0]")
+#: The pre-tokenizer's pieces in a text whose only white space is single spaces and line ends.
+_PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^ \\n{_L}{_N}]+|[ \\n]")
+#: Characters outside ASCII to U+02AF, and white space other than the space and the line end.
+_ODD = re.compile("[^\\x00-\\u02af]|[\\t\\x0b-\\r\\x1c-\\x1f\\x85\\xa0]")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Of each byte, the character by which byte-level vocabularies name it: itself if visible, else the next from U+0100."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return dict(zip(seen, seen)) | dict(zip((b for b in range(256) if b not in seen), range(0x100, 0x200)))
+
+
+_LETTERS = _byte_letters()
 
 
 class _Pieces(dict):
-    def __init__(self, tokenizer: Tokenizer):
+    """A piece -> its ids, by the library's BPE model."""
+
+    def __init__(self, model):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.model = model
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= CACHED_PIECES:
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))]
+        if len(self) >= CACHED:
             self.clear()
-        if len(piece) <= CACHED_CHARS:
-            self[piece] = ids
-        return ids
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= KEPT_CHARS:
+            self[piece] = out
+        return out
 
 
 class _Words(dict):
-    """A word that follows a space, with what is attached to it -> the ids of the space and the word."""
+    """What follows a space, up to the next space or line end; or a line end and what follows it -> its ids."""
 
     def __init__(self, pieces: _Pieces):
         super().__init__()
         self.pieces = pieces
 
     def __missing__(self, word: str) -> bytes:
-        ids = b"".join(map(self.pieces.__getitem__, _PIECE.findall(" " + word)))
-        if len(self) >= CACHED_PIECES:
+        out = b"".join(map(self.pieces.__getitem__, _PIECE.findall(word if word[:1] == "\n" else f" {word}")))
+        if len(self) >= CACHED:
             self.clear()
-        if len(word) <= CACHED_CHARS and "\n" not in word:
-            self[word] = ids
-        return ids
+        if len(word) <= KEPT_CHARS:
+            self[word] = out
+        return out
 
 
 class Encoder:
@@ -81,19 +92,17 @@ class Encoder:
     def __init__(self, path: str | None = None):
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
         self.tokenizer.encode_special_tokens = False
-        self.pieces = _Pieces(self.tokenizer)
-        self.words = _Words(self.pieces)
+        self.words = _Words(_Pieces(self.tokenizer.model))
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _ODD.search(text) or any(a in text for a in self.added):
+        t = "\n" + text
+        if "  " in t or "\n " in t or " \n" in t or "\n\n" in t or t[-1] in " \n" or _ODD.search(text) or any(a in text for a in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if "  " in text or " \n" in text or "\n " in text or _UNEVEN.search(text):
-            return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
-        first, *rest = text.split(" ")
-        return b"".join((*map(self.pieces.__getitem__, _PIECE.findall(first)), *map(self.words.__getitem__, rest)))
+        # single spaces and line ends, never beside each other: each begins a piece, and all up to the next has ids of its own
+        return b"".join(map(self.words.__getitem__, t.replace("\n", " \n")[1:].split(" ")))[4:]
 
 
 _ENCODERS: dict[str | None, Encoder] = {}
@@ -108,5 +117,5 @@ def encoder(path: str | None = None) -> Encoder:
 
 def encode_all(texts: Sequence[str | None], path: str | None = None, end_id: int = END_ID) -> list[bytes]:
     """Of each text, its ids and the end id."""
-    e, end = encoder(path), int(end_id).to_bytes(4, sys.byteorder if sys.byteorder == "little" else "little")
-    return [e.encode(t) + end for t in texts]
+    end = int(end_id).to_bytes(4, "little")
+    return [ids + end for ids in map(encoder(path).encode, texts)]
