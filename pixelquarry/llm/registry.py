@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Operator modules; each has QUERY, query(spark, sf_dir) and ORACLE_SQL (None where SQL can't express it).
-MODULES = ("packing", "bitplane", "chat_format")
+MODULES = ("url_filter", "packing", "quality", "bitplane", "media", "chat_format", "decontaminate")
 
 
 def _operators():
