@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Operator modules; each has QUERY, query(spark, sf_dir) and ORACLE_SQL (None where SQL can't express it).
-MODULES = ("url_filter", "packing", "quality", "line_dedup", "bitplane", "html_extract", "media", "chat_format", "decontaminate")
+MODULES = ("url_filter", "packing", "quality", "line_dedup", "bitplane", "html_extract", "ngram_join", "media", "chat_format", "decontaminate")
 
 
 def _operators():
