@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from . import rasters
+from .px_queries import PX
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+
+def _px(name):
+    run, _ = PX[name]
+    return lambda spark, sf_dir: run(rasters.events_px(spark, sf_dir))
 
 
 def queries():
-    return {}
+    return {name: _px(name) for name in PX}
 
 
 def oracle_sql():
-    return {}
+    source = f"{rasters.events_sql()} AS px"
+    return {name: text(source) for name, (_, text) in PX.items()}
+
+
+def flagship(spark, sf_dir):
+    return queries()["equalized_statistics"](spark, sf_dir)
