@@ -73,17 +73,13 @@ def auto_level(source, levels: int = 256, clip: int | None = None):
 
 @operator
 def auto_level_separate(source, levels: int = 256, clip: int | None = None):
-    """Each channel by itself in the luminance's table: the last entry at or below its value, by a window over values and entries."""
-    table = _cdf_of(source, levels, clip)
-    out = source
+    """Each channel by itself in the luminance's table, which has a row for every level so that the joins are equalities."""
+    table = _cdf_of(source, levels, 2**31 - 1 if clip is None else clip)
     joins, cols = "", []
     for c in "rgb":
-        at = f"CAST({half_even(f'{scaled(f'p.{c}')} * {levels - 1}e0')} AS INT)"
-        # entries exist for bins that occur; the running sum of a bin without pixels is that of the one before
-        spans = f"SELECT image_id, frame_no, bin, c, least, lead(bin) OVER (PARTITION BY image_id, frame_no ORDER BY bin) AS next_bin, row_number() OVER (PARTITION BY image_id, frame_no ORDER BY bin) AS nth FROM ({table}) AS entries"
-        joins += f" LEFT JOIN ({spans}) AS t{c} ON t{c}.image_id = p.image_id AND t{c}.frame_no = p.frame_no AND {at} >= t{c}.bin AND ({at} < t{c}.next_bin OR t{c}.next_bin IS NULL)"
-        cols.append(f"{pack(f'coalesce(CASE WHEN p.total = t{c}.least THEN 0e0 ELSE t{c}.c * 1e0 / (p.total - t{c}.least) END, 0e0)')} AS {c}")
-    counted = f"(SELECT {KEYS}, r, g, b, a, count(*) OVER (PARTITION BY image_id, frame_no) AS total FROM {out}) AS p"
+        joins += f" JOIN ({table}) AS t{c} ON t{c}.image_id = p.image_id AND t{c}.frame_no = p.frame_no AND t{c}.bin = CAST({half_even(f'{scaled(f'p.{c}')} * {levels - 1}e0')} AS INT)"
+        cols.append(f"{pack(f'CASE WHEN p.total = t{c}.least THEN 0e0 ELSE t{c}.c * 1e0 / (p.total - t{c}.least) END')} AS {c}")
+    counted = f"(SELECT {KEYS}, r, g, b, a, count(*) OVER (PARTITION BY image_id, frame_no) AS total FROM {source}) AS p"
     return f"SELECT p.image_id, p.frame_no, p.y, p.x, {', '.join(cols)}, p.a FROM {counted}{joins}"
 
 

@@ -81,10 +81,10 @@ PX["equalized_statistics"] = ((lambda px: px.sparkSession.sql(_equalized("{px}")
 
 def _drawn(mode, alpha, opacity):
     def text(source):
-        over = f"(SELECT image_id, frame_no, y, x, g AS r, b AS g, r AS b, 255 - a + 40 AS a FROM {source} WHERE x < 20 AND y < 24 AND image_id = 0) AS fg"
-        return blend.draw_image.sql(source, over.replace("image_id, frame_no, y, x, g AS r", "y, x, g AS r"), 5, -3, mode, alpha, opacity)
+        over = f"(SELECT y, x, g AS r, b AS g, r AS b, 295 - a AS a FROM {source} WHERE x < 20 AND y < 24 AND image_id = 0)"
+        return blend.draw_image.sql(source, over, 5, -3, mode, alpha, opacity)
 
-    return (lambda px: px.sparkSession.sql(text("{px}").replace("{px} AS p", "{px} AS p"), px=px)), text
+    return (lambda px: px.sparkSession.sql(text("{px}"), px=px)), text
 
 
 for _mode in blend.COLOR_MODES:

@@ -16,8 +16,7 @@ def queries():
 
 
 def oracle_sql():
-    source = f"{rasters.events_sql()} AS px"
-    return {name: text(source) for name, (_, text) in PX.items()}
+    return {name: f"WITH px AS {rasters.events_sql()} {text('px')}" for name, (_, text) in PX.items()}
 
 
 def flagship(spark, sf_dir):
