@@ -32,8 +32,8 @@ TRAIN_ROWS, BUCKETS, DIM = 6000, 1 << 17, 16
 NGRAMS = (3, 4, 5)
 PASSES, LEAST_STEPS, RATE = 4, 12_000, 0.5
 THRESHOLD = 0.3
-#: Words that a worker remembers; the table is emptied when full.
-CACHED_WORDS = 600_000
+#: Words that a worker remembers (the table is emptied when full), and texts whose words it holds at once.
+CACHED_WORDS, SLICE = 500_000, 128
 _P = np.uint64(0x100000001B3)
 END = 0  # the bucket of the end mark
 
@@ -126,6 +126,9 @@ class Scorer:
     def scores(self, texts) -> np.ndarray:
         if self.gain is None:
             return np.full(len(texts), self.prior)
+        return np.concatenate([np.empty(0), *(self._scores(texts[k : k + SLICE]) for k in range(0, len(texts), SLICE))])
+
+    def _scores(self, texts) -> np.ndarray:
         docs = [words_in(t) for t in texts]
         new = list(set().union(*docs).difference(self.number))
         if len(self.number) + len(new) > CACHED_WORDS:
@@ -133,9 +136,12 @@ class Scorer:
             new = list(set().union(*docs))
         if new:
             ids, owner = subwords(new)
-            self.total = np.append(self.total, np.bincount(owner, self.gain[ids], len(new)))
-            self.n = np.append(self.n, np.bincount(owner, minlength=len(new)))
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+            first = len(self.number)
+            if first + len(new) > len(self.total):  # room for twice as many
+                self.total, self.n = (np.append(a, np.zeros(first + 2 * len(new))) for a in (self.total, self.n))
+            self.total[first : first + len(new)] = np.bincount(owner, self.gain[ids], len(new))
+            self.n[first : first + len(new)] = np.bincount(owner, minlength=len(new))
+            self.number.update(zip(new, range(first, first + len(new))))
         z = np.empty(len(docs))
         for i, d in enumerate(docs):
             k = np.fromiter(map(self.number.__getitem__, d), np.int64, len(d))
