@@ -2,7 +2,8 @@
 
 Every word and its character n-grams (three to five, with the word's bounds) are
 hashed into one table of learned vectors. A document is the mean of the vectors
-of all of them, and of one end mark; a softmax layer gives the class. Vectors
+of all of them, of one end mark, and of a mark for every word that repeats the
+one before it; a softmax layer gives the class. Vectors
 and layer are trained by stochastic gradient descent in numpy, on a sample of at
 most TRAIN_ROWS labelled documents outside the held-out fold (those with the
 smallest hash of doc_id). Scores use whole texts.
@@ -35,7 +36,8 @@ THRESHOLD = 0.3
 #: Words that a worker remembers (the table is emptied when full), and texts whose words it holds at once.
 CACHED_WORDS, SLICE = 500_000, 128
 _P = np.uint64(0x100000001B3)
-END = 0  # the bucket of the end mark
+#: Buckets of the end mark and of the mark of a repeated word, and how often the latter counts.
+END, SAME, SAME_TIMES = 0, 1, 8
 
 
 def held_out(doc_id):
@@ -63,7 +65,7 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     whole = np.add.reduceat((data + np.uint64(1)) * weight, starts)
     ids.append(whole)
     owners.append(np.arange(len(words)))
-    return (mix(np.concatenate(ids)) % np.uint64(BUCKETS - 1)).astype(np.int64) + 1, np.concatenate(owners)
+    return (mix(np.concatenate(ids)) % np.uint64(BUCKETS - 2)).astype(np.int64) + 2, np.concatenate(owners)
 
 
 def words_in(text: str | None) -> list[bytes]:
@@ -88,11 +90,13 @@ class Model:
         ids, at = ids[order], np.searchsorted(owner[order], np.arange(len(vocabulary) + 1))
         features = []
         for d in docs:
-            words, times = np.unique(np.array(d, np.int64), return_counts=True)
+            d = np.array(d, np.int64)
+            same = SAME_TIMES * int((d[1:] == d[:-1]).sum())
+            words, times = np.unique(d, return_counts=True)
             n = at[words + 1] - at[words]
             own = np.repeat(at[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            f, where = np.unique(np.append(ids[own], END), return_inverse=True)
-            weight = np.bincount(where, np.append(np.repeat(times, n), 1))
+            f, where = np.unique(np.append(ids[own], [END, SAME]), return_inverse=True)
+            weight = np.bincount(where, np.append(np.repeat(times, n), [1, same]))
             features.append((f.astype(np.int32), (weight / weight.sum()).astype(np.float32)))
         vectors = random.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
         layer = np.zeros((DIM, 2), np.float32)
@@ -145,7 +149,8 @@ class Scorer:
         z = np.empty(len(docs))
         for i, d in enumerate(docs):
             k = np.fromiter(map(self.number.__getitem__, d), np.int64, len(d))
-            z[i] = (self.total[k].sum() + self.gain[END]) / (self.n[k].sum() + 1)
+            same = SAME_TIMES * int((k[1:] == k[:-1]).sum())
+            z[i] = (self.total[k].sum() + self.gain[END] + same * self.gain[SAME]) / (self.n[k].sum() + 1 + same)
         return 1 / (1 + np.exp(-z))
 
 
