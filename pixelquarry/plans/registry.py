@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 from . import rasters
+from .frame_queries import FRAMES
 from .px_queries import PX
 
+_ALL = PX | FRAMES
+
 
 def _px(name):
-    run, _ = PX[name]
+    run, _ = _ALL[name]
     return lambda spark, sf_dir: run(rasters.events_px(spark, sf_dir))
 
 
 def queries():
-    return {name: _px(name) for name in PX}
+    return {name: _px(name) for name in _ALL}
 
 
 def oracle_sql():
-    return {name: f"WITH px AS {rasters.events_sql()} {text('px')}" for name, (_, text) in PX.items()}
+    return {name: f"WITH px AS {rasters.events_sql()} {text('px')}" for name, (_, text) in _ALL.items() if text is not None}
 
 
 def flagship(spark, sf_dir):
