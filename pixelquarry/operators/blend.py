@@ -79,7 +79,7 @@ def composed(back: list[str], over: list[str], color: str = "normal", alpha: str
     """Expressions for red, green, blue, alpha; back and over are scaled channels, opacity scales over's alpha only."""
     d, da, s, sa = back[:3], back[3], over[:3], f"({over[3]} * {opacity})"
     both = f"({da} * {sa})"
-    mode = COLOR_MODES[color]
+    mode = color if callable(color) else COLOR_MODES[color]
 
     def un(c, a):
         return [f"(CASE WHEN {a} = 0e0 THEN 0e0 ELSE ({x}) / {a} END)" for x in c]
@@ -167,12 +167,35 @@ def polaroid(source, rect=None, width: int | None = None):
     return glow.sql(f"({first}) AS vignetted", (255, 153, 102, 128), (rect[2] if rect else width) / 4, rect)
 
 
+def _staged(mode: str, b: list[str], s: list[str]) -> tuple[list[dict[str, str]], list[str]]:
+    """A mode as columns step by step, so that no expression is written out many times: (steps, names of the result)."""
+    if mode not in ("hue", "saturation", "color", "luminosity"):
+        return [], COLOR_MODES[mode](b, s)
+    start, lum = {"hue": (_set_saturation(s, _sat(b)), b), "saturation": (_set_saturation(b, _sat(s)), b), "color": (s, b), "luminosity": (b, s)}[mode]
+    c, m, u = (["c_r", "c_g", "c_b"], ["m_r", "m_g", "m_b"], ["u_r", "u_g", "u_b"])
+    steps = [
+        dict(zip(c, start)) | {"lm": _lum(lum)},
+        {name: f"{x} + (lm - {_lum(c)})" for name, x in zip(m, c)},
+        {"lo": _low(m), "hi": _high(m)},
+        {name: f"CASE WHEN lo < 0e0 THEN lm + ({x} - lm) * (lm / (lm - lo)) ELSE {x} END" for name, x in zip([*u, "hi2"], [*m, "hi"])},
+        {f"v_{k}": f"CASE WHEN hi2 > 1e0 THEN lm + ({x} - lm) * ((1e0 - lm) / (hi2 - lm)) ELSE {x} END" for k, x in zip("rgb", u)},
+    ]
+    return steps, ["v_r", "v_g", "v_b"]
+
+
 @operator
 def draw_image(source, over, x: int = 0, y: int = 0, mode="normal", alpha="src_over", opacity: float = 1.0):
-    """Draw ``over`` (a relation x, y, r, g, b, a for all images, or with image_id for each) at a place; a hash join on the pixel's place."""
-    parts = composed([scaled(f"p.{c}") for c in "rgba"], [scaled(f"o.{c}") for c in "rgba"], mode, alpha, num(opacity))
-    cols = ", ".join(f"CASE WHEN o.a IS NULL THEN p.{c} ELSE {pack(v)} END AS {c}" for v, c in zip(parts, "rgba"))
-    return f"SELECT p.image_id, p.frame_no, p.y, p.x, {cols} FROM {source} AS p LEFT JOIN {over} AS o ON p.x - {x} = o.x AND p.y - {y} = o.y"
+    """Draw ``over`` (a relation y, x, r, g, b, a) on all images at a place; an equality join on the pixel's place."""
+    back, front = [f"b{c}" for c in "rgba"], [f"f{c}" for c in "rgba"]
+    scaled_cols = ", ".join(f"{scaled(f'p.{c}')} AS b{c}, {scaled(f'o.{c}')} AS f{c}" for c in "rgba")
+    query = f"SELECT p.image_id, p.frame_no, p.y, p.x, p.r, p.g, p.b, p.a, {scaled_cols} FROM {source} AS p LEFT JOIN {over} AS o ON p.x - {x} = o.x AND p.y - {y} = o.y"
+    (under, upper) = (front, back) if alpha in ("dest_over", "dest_atop") else (back, front)
+    steps, made = _staged(mode, under[:3], upper[:3])
+    for k, step in enumerate(steps):
+        query = f"SELECT *, {', '.join(f'{v} AS {n}' for n, v in step.items())} FROM ({query}) AS step{k}"
+    parts = composed(back, front, lambda b, s: made, alpha, num(opacity))
+    cols = ", ".join(f"CASE WHEN fa IS NULL THEN {c} ELSE {pack(v)} END AS {c}" for v, c in zip(parts, "rgba"))
+    return f"SELECT {KEYS}, {cols} FROM ({query}) AS blended"
 
 
 def draw(px, over, x: int = 0, y: int = 0, mode="normal", alpha="src_over", opacity: float = 1.0, frames: int = 1, repeat: int = 0):

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from . import rasters
+from .color_queries import COLORS
 from .frame_queries import FRAMES
 from .px_queries import PX
 
-_ALL = PX | FRAMES
+_ALL = PX | FRAMES | COLORS
 
 
 def _px(name):
