@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from ..frames import Chain, assemble, explode, process_pixels
+from ..kernels import bokeh as B
+from ..kernels import clahe as H
 from ..kernels import convolve as C
+from ..kernels import quantize as Q
 from ..kernels import resample as R
 from ..operators import neighbourhood as N
 from ..operators import palette as P
@@ -67,3 +70,12 @@ def _median_sql(radius, keep):
 
 FRAMES["median_blur"] = _kernel(C.median_blur, 1), _median_sql(1, False)
 FRAMES["median_blur_keep_alpha"] = _kernel(C.median_blur, 2, True), _median_sql(2, True)
+
+FRAMES["bokeh_blur"] = _kernel(B.bokeh_blur, 4, 2), None
+FRAMES["clahe"] = _kernel(H.clahe, 256, 20, 4), None
+FRAMES["clahe_sliding"] = _kernel(H.clahe_sliding, 256, None, 4), None
+for _name in Q.DIFFUSIONS:
+    FRAMES[f"diffuse_{_name}"] = _kernel(Q.diffuse, COLOURS, _name), None
+FRAMES["binary_dither"] = _kernel(Q.binary_dither), None
+FRAMES["quantize_wu"] = _kernel(Q.quantize, "wu", 32, None), None
+FRAMES["quantize_tree"] = _kernel(Q.quantize, "tree", 32, None), None
