@@ -72,6 +72,25 @@ def words_in(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def _weights(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text its buckets and their shares."""
+    vocabulary: dict[bytes, int] = {}
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_in(t)], np.int64) for t in texts]
+    ids, owner = subwords(list(vocabulary))
+    order = np.argsort(owner, kind="stable")
+    ids, at = ids[order], np.searchsorted(owner[order], np.arange(len(vocabulary) + 1))
+    out = []
+    for d in docs:
+        same = SAME_TIMES * int((d[1:] == d[:-1]).sum())
+        words, times = np.unique(d, return_counts=True)
+        n = at[words + 1] - at[words]
+        own = np.repeat(at[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        f, where = np.unique(np.append(ids[own], [END, SAME]), return_inverse=True)
+        weight = np.bincount(where, np.append(np.repeat(times, n), [1, same]))
+        out.append((f.astype(np.int32), (weight / weight.sum()).astype(np.float32)))
+    return out
+
+
 class Model:
     """Fitted on texts and 0/1 labels; what scoring needs of it is one number for each bucket, and the prior where nothing can be learned."""
 
@@ -83,27 +102,13 @@ class Model:
 
     @staticmethod
     def _fit(texts, labels, random) -> np.ndarray:
-        vocabulary: dict[bytes, int] = {}
-        docs = [[vocabulary.setdefault(w, len(vocabulary)) for w in words_in(t)] for t in texts]
-        ids, owner = subwords(list(vocabulary))
-        order = np.argsort(owner, kind="stable")
-        ids, at = ids[order], np.searchsorted(owner[order], np.arange(len(vocabulary) + 1))
-        features = []
-        for d in docs:
-            d = np.array(d, np.int64)
-            same = SAME_TIMES * int((d[1:] == d[:-1]).sum())
-            words, times = np.unique(d, return_counts=True)
-            n = at[words + 1] - at[words]
-            own = np.repeat(at[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            f, where = np.unique(np.append(ids[own], [END, SAME]), return_inverse=True)
-            weight = np.bincount(where, np.append(np.repeat(times, n), [1, same]))
-            features.append((f.astype(np.int32), (weight / weight.sum()).astype(np.float32)))
+        features = [x for k in range(0, len(texts), SLICE) for x in _weights(texts[k : k + SLICE])]
         vectors = random.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
         layer = np.zeros((DIM, 2), np.float32)
-        passes = max(PASSES, -(-LEAST_STEPS // len(docs)))
-        done, steps = 0, passes * len(docs)
+        passes = max(PASSES, -(-LEAST_STEPS // len(features)))
+        done, steps = 0, passes * len(features)
         for _ in range(passes):
-            for i in random.permutation(len(docs)):
+            for i in random.permutation(len(features)):
                 rate = RATE * (1 - done / steps)
                 done += 1
                 f, w = features[i]
