@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -24,12 +25,33 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Of DataFrames that materialize() gave, where they are stored.
+_STORED: dict[int, tuple[DataFrame, str]] = {}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STORED[id(out)] = out, path
+    return out
+
+
+def discard(*dfs: DataFrame) -> None:
+    """Delete what materialize() stored for them. Only for tables from which nothing is read any more, all that came of them being stored itself.
+
+    Shuffle files of finished jobs go as well, as soon as the driver's garbage is collected.
+    """
+    for df in dfs:
+        _, path = _STORED.pop(id(df))
+        jvm = df.sparkSession.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()
+    if dfs:
+        dfs[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

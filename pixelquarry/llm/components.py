@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         # small star: u and its neighbours below are hung on the least of them
         small = large.join(_least(large), "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = materialize(small, "edges")
+        old, edges = edges, materialize(small, "edges")
+        discard(old)
         new = _state(edges)
         if new == state:
             break

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHashes, materialize, mix, shingle_set, table
+from .common import WordHashes, discard, materialize, mix, shingle_set, table
 from .components import components
 
 QUERY = "op5_multi_order_jaccard"
@@ -171,19 +171,26 @@ def _near(n_a, n_b, percent: int):
     return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b))
 
 
+def _side(sets: DataFrame, pairs: DataFrame, side: str, columns: list[str]) -> DataFrame:
+    """The sets that stand on one side of the pairs; the join that follows has the same key, so this costs no further shuffle of sets."""
+    there = pairs.select(F.col(side).alias("cid")).distinct()
+    return sets.select("cid", *columns).join(there, "cid", "left_semi").select(F.col("cid").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns))
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), those that pass the filters under the other orders and then the exact count."""
     orders = [f"p{k}" for k in range(len(ORDERS))]
-    side = lambda s, cols: sets.select(F.col("cid").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in cols))
-    near = pairs
-    for s in "ab":
-        near = near.join(side(s, orders), s)
+    pairs = materialize(pairs, "pairs")
+    near = pairs.join(_side(sets, pairs, "a", orders), "a").join(_side(sets, pairs, "b", orders), "b")
     for c in orders:
         near = near.filter(F.arrays_overlap(f"a_{c}", f"b_{c}"))
-    near = near.select("a", "b").distinct()
-    whole = near.join(side("a", ["n", "tokens"]), "a").join(side("b", ["n", "tokens"]), "b")
+    near = materialize(near.select("a", "b").distinct(), "near")
+    discard(pairs)
+    whole = near.join(_side(sets, near, "a", ["n", "tokens"]), "a").join(_side(sets, near, "b", ["n", "tokens"]), "b")
     both = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    return whole.filter(100 * both >= percent * (F.col("a_n") + F.col("b_n") - both)).select("a", "b").distinct()
+    links = materialize(whole.filter(100 * both >= percent * (F.col("a_n") + F.col("b_n") - both)).select("a", "b").distinct(), "links")
+    discard(near)
+    return links
 
 
 def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -200,15 +207,11 @@ def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFram
     grouped = one_each.withColumn("size", F.count("*").over(group)).withColumn("pivot", F.min(F.struct(F.xxhash64("cid").alias("prio"), "cid", "n")).over(group)).filter("size > 1")
     index = materialize(grouped.select("token", "cid", "n", F.col("pivot.cid").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "index")
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        """The links among the pairs; sets are made again from the texts of the classes that occur."""
-        pairs = materialize(pairs, "pairs")
-        ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct().join(names, "cid").select("doc_id")
-        sets = materialize(_texts_to_sets(docs, ids, shared, percent), "tokens")
-        return materialize(_verify(pairs, sets, percent), "links")
+    ids = index.select("cid").distinct().join(names, "cid").select("doc_id")
+    sets = materialize(_texts_to_sets(docs, ids, shared, percent), "tokens")
 
     stars = index.filter((F.col("cid") != F.col("pivot")) & _near(F.col("n"), F.col("pivot_n"), percent)).groupBy("cid", "pivot").count()
-    links = checked(stars.groupBy("cid").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("b")).select(F.col("cid").alias("a"), "b"))
+    links = _verify(stars.groupBy("cid").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("b")).select(F.col("cid").alias("a"), "b"), sets, percent)
     n_index, seed = index.count(), 0
     while True:
         labels = materialize(components(links, "a", "b"), "labels")
@@ -217,6 +220,7 @@ def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFram
         rest = materialize(tagged.join(mixed, "token"), "rest")
         pairs_left = rest.select("token", "k", "k2").distinct().agg(F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("k2")) / 2), F.lit(0.0))).first()[0]
         if not pairs_left:
+            discard(index, sets, rest)
             return documents, labels
         seed += 1
         many = pairs_left > PAIRS_A_ROW * n_index + 100_000
@@ -226,9 +230,11 @@ def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFram
         else:
             mine, other = rest.select("token", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a")), rest.select("token", F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"))
             pairs = mine.join(other, "token").filter((F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & _near(F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
-        new = checked(pairs)
+        new = _verify(pairs, sets, percent)
         links = links.unionByName(new)
+        discard(rest)
         if not many:
+            discard(index, sets)
             return documents, materialize(components(links, "a", "b"), "labels")
         if new.isEmpty():
             n_index = float("inf")  # pivots link nothing more: enumerate the rest
