@@ -7,7 +7,10 @@ of each, under any order of all tokens. Several orders are used, each rare
 tokens first (frequencies come from a counting sketch of fixed size, filled from
 all documents; ties fall by a hash of that order's own): candidates come from
 the prefixes under the first order, and must share prefix tokens under the other
-orders as well before their sets are fetched and counted exactly.
+orders as well before their sets are fetched and counted exactly. Where the
+first shared token stands in both sets bounds what they can share (the tokens
+after it), so a pair is taken up only at a token whose places leave enough; in
+particular the smaller set has it in the first ninth or so of its tokens.
 
 What is asked for is every document's component. So inside a group that shares a
 prefix token not all pairs are made: first each member is compared with one
@@ -44,7 +47,7 @@ CHUNK = 1 << 15
 #: Orders beside the first, and their hashes' salts.
 ORDERS = (np.uint64(0xA5A5A5A5), np.uint64(0x5EED5EED))
 #: While more candidate pairs than this for each row of the index are left, pivots go on.
-PAIRS_A_ROW = 2
+PAIRS_A_ROW = 0.5
 
 
 def prefix_length(n, percent: int = PERCENT):
@@ -117,22 +120,23 @@ def _sketch(found: DataFrame) -> np.ndarray:
 
 
 def _index(docs: DataFrame, shared, percent: int) -> DataFrame:
-    """(token, cid, n): the prefix of every document under the first order."""
+    """(token, cid, n, pos): the prefix of every document under the first order, and each token's place in it."""
 
     def run(batches):
         cache = WordHashes()
         for b in batches:
-            tokens, cids, ns = [], [], []
+            tokens, cids, ns, at = [], [], [], []
             for _, s in _sets(b, cache):
                 if len(s):
                     p = prefix_length(len(s), percent)
                     tokens.append(rarest_first(s, frequency_class(s, shared.value))[:p])
                     cids.append(np.full(p, digest(s)))
                     ns.append(np.full(p, len(s), np.int32))
+                    at.append(np.arange(p, dtype=np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(cids)), pa.array(np.concatenate(ns), pa.int32())], ["token", "cid", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(cids)), pa.array(np.concatenate(ns), pa.int32()), pa.array(np.concatenate(at), pa.int32())], ["token", "cid", "n", "pos"])
 
-    return docs.mapInArrow(run, "token long, cid long, n int")
+    return docs.mapInArrow(run, "token long, cid long, n int, pos int")
 
 
 def _picked(ids: DataFrame) -> np.ndarray:
@@ -167,8 +171,16 @@ def _texts_to_sets(docs: DataFrame, ids: DataFrame, shared, percent: int) -> Dat
     return picked.mapInArrow(run, "cid long, n int, tokens array<long>" + "".join(f", {c} array<int>" for c in extra))
 
 
-def _near(n_a, n_b, percent: int):
-    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b))
+def _near(a: str, b: str, percent: int):
+    """Whether two sets can be similar that share, as their first common token, the ones at these rows' places."""
+    n_a, n_b, pos_a, pos_b = (F.col(f"{c}{s}") for c in ("n", "pos") for s in (a, b))
+    most = F.least(n_a - pos_a, n_b - pos_b)
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & ((100 + percent) * most >= percent * (n_a + n_b))
+
+
+def _size_class(n):
+    """Sets whose sizes allow similarity are in the same class or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.2500001))).cast("int")
 
 
 def _side(sets: DataFrame, pairs: DataFrame, side: str, columns: list[str]) -> DataFrame:
@@ -203,19 +215,19 @@ def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFram
     names = documents.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
 
     group = Window.partitionBy("token")
-    one_each = _index(docs, shared, percent).repartition("token").groupBy("token", "cid").agg(F.first("n").alias("n"))
-    grouped = one_each.withColumn("size", F.count("*").over(group)).withColumn("pivot", F.min(F.struct(F.xxhash64("cid").alias("prio"), "cid", "n")).over(group)).filter("size > 1")
-    index = materialize(grouped.select("token", "cid", "n", F.col("pivot.cid").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "index")
+    one_each = _index(docs, shared, percent).repartition("token").groupBy("token", "cid").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
+    grouped = one_each.withColumn("size", F.count("*").over(group)).withColumn("pivot", F.min(F.struct(F.xxhash64("cid").alias("prio"), "cid", "n", "pos")).over(group)).filter("size > 1")
+    index = materialize(grouped.select("token", "cid", "n", "pos", F.col("pivot.cid").alias("pivot"), F.col("pivot.n").alias("n_p"), F.col("pivot.pos").alias("pos_p")), "index")
 
     ids = index.select("cid").distinct().join(names, "cid").select("doc_id")
     sets = materialize(_texts_to_sets(docs, ids, shared, percent), "tokens")
 
-    stars = index.filter((F.col("cid") != F.col("pivot")) & _near(F.col("n"), F.col("pivot_n"), percent)).groupBy("cid", "pivot").count()
+    stars = index.filter((F.col("cid") != F.col("pivot")) & _near("", "_p", percent)).groupBy("cid", "pivot").count()
     links = _verify(stars.groupBy("cid").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("b")).select(F.col("cid").alias("a"), "b"), sets, percent)
     n_index, seed = index.count(), 0
     while True:
         labels = materialize(components(links, "a", "b"), "labels")
-        tagged = index.select("token", "cid", "n").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        tagged = index.select("token", "cid", "n", "pos").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
         mixed = tagged.groupBy("token", "label").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2")).filter("k * k > k2")
         rest = materialize(tagged.join(mixed, "token"), "rest")
         pairs_left = rest.select("token", "k", "k2").distinct().agg(F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("k2")) / 2), F.lit(0.0))).first()[0]
@@ -225,11 +237,16 @@ def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFram
         seed += 1
         many = pairs_left > PAIRS_A_ROW * n_index + 100_000
         if many:
-            pivot = rest.groupBy("token").agg(F.min(F.struct(F.xxhash64("cid", F.lit(seed)).alias("prio"), F.col("cid").alias("pivot"), F.col("n").alias("pivot_n"), F.col("label").alias("pivot_label"))).alias("p")).select("token", "p.pivot", "p.pivot_n", "p.pivot_label")
-            pairs = rest.join(pivot, "token").filter((F.col("label") != F.col("pivot_label")) & _near(F.col("n"), F.col("pivot_n"), percent)).select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct()
+            pivot = rest.groupBy("token").agg(F.min(F.struct(F.xxhash64("cid", F.lit(seed)).alias("prio"), F.col("cid").alias("pivot"), F.col("n").alias("n_p"), F.col("pos").alias("pos_p"), F.col("label").alias("label_p"))).alias("p")).select("token", "p.pivot", "p.n_p", "p.pos_p", "p.label_p")
+            pairs = rest.join(pivot, "token").filter((F.col("label") != F.col("label_p")) & _near("", "_p", percent)).select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct()
         else:
-            mine, other = rest.select("token", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a")), rest.select("token", F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"))
-            pairs = mine.join(other, "token").filter((F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & _near(F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
+            side = lambda s: rest.select("token", F.col("cid").alias(f"cid{s}"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"pos{s}"), F.col("label").alias(f"label{s}"))
+            # the smaller set's token is among its first, else too little is left: _near() with sizes that are equal
+            small = side("_a").filter((100 + percent) * (F.col("n_a") - F.col("pos_a")) >= 2 * percent * F.col("n_a")).withColumn("size", _size_class(F.col("n_a")))
+            large = side("_b").withColumn("size", F.explode(F.array(_size_class(F.col("n_b")), _size_class(F.col("n_b")) - 1)))
+            order = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("cid_a") < F.col("cid_b")))
+            met = (small["token"] == large["token"]) & (small["size"] == large["size"]) & order & (F.col("label_a") != F.col("label_b")) & _near("_a", "_b", percent)
+            pairs = small.join(large, met).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct()
         new = _verify(pairs, sets, percent)
         links = links.unionByName(new)
         discard(rest)
