@@ -46,8 +46,8 @@ CELLS, PICKED_BITS = 1 << 21, 1 << 24
 CHUNK = 1 << 15
 #: Orders beside the first, and their hashes' salts.
 ORDERS = (np.uint64(0xA5A5A5A5), np.uint64(0x5EED5EED))
-#: While more candidate pairs than this for each row of the index are left, pivots go on.
-PAIRS_A_ROW = 0.5
+#: While more candidate pairs than this for each row of the index are left, pivots go on, as long as each round leaves at most this share of them.
+PAIRS_A_ROW, PIVOTS_LEAVE = 0.5, 0.6
 
 
 def prefix_length(n, percent: int = PERCENT):
@@ -224,7 +224,7 @@ def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFram
 
     stars = index.filter((F.col("cid") != F.col("pivot")) & _near("", "_p", percent)).groupBy("cid", "pivot").count()
     links = _verify(stars.groupBy("cid").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("b")).select(F.col("cid").alias("a"), "b"), sets, percent)
-    n_index, seed = index.count(), 0
+    n_index, seed, before = index.count(), 0, float("inf")
     while True:
         labels = materialize(components(links, "a", "b"), "labels")
         tagged = index.select("token", "cid", "n", "pos").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
@@ -235,7 +235,8 @@ def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFram
             discard(index, sets, rest)
             return documents, labels
         seed += 1
-        many = pairs_left > PAIRS_A_ROW * n_index + 100_000
+        many = pairs_left > PAIRS_A_ROW * n_index + 100_000 and pairs_left <= PIVOTS_LEAVE * before
+        before = pairs_left
         if many:
             pivot = rest.groupBy("token").agg(F.min(F.struct(F.xxhash64("cid", F.lit(seed)).alias("prio"), F.col("cid").alias("pivot"), F.col("n").alias("n_p"), F.col("pos").alias("pos_p"), F.col("label").alias("label_p"))).alias("p")).select("token", "p.pivot", "p.n_p", "p.pos_p", "p.label_p")
             pairs = rest.join(pivot, "token").filter((F.col("label") != F.col("label_p")) & _near("", "_p", percent)).select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct()
@@ -253,8 +254,6 @@ def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFram
         if not many:
             discard(index, sets)
             return documents, materialize(components(links, "a", "b"), "labels")
-        if new.isEmpty():
-            n_index = float("inf")  # pivots link nothing more: enumerate the rest
 
 
 def component_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -55,7 +55,7 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(words)), lengths)
     left = ends[owner] - np.arange(len(data))  # bytes from here to the word's end
     h, ids, owners = np.zeros(len(data), np.uint64), [], []
-    for n in range(1, max(NGRAMS) + 1):
+    for n in range(1, min(max(NGRAMS), len(data)) + 1):
         h[: len(data) - n + 1] = h[: len(data) - n + 1] * _P + data[n - 1 :] + np.uint64(1)
         if n in NGRAMS:
             ok = left >= n
