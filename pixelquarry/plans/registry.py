@@ -6,8 +6,9 @@ from . import rasters
 from .color_queries import COLORS
 from .frame_queries import FRAMES
 from .px_queries import PX
+from .source_queries import SOURCES
 
-_ALL = PX | FRAMES | COLORS
+_ALL = PX | FRAMES | COLORS | SOURCES
 
 
 def _px(name):
