@@ -49,9 +49,7 @@ def discard(*dfs: DataFrame) -> None:
         jvm = df.sparkSession.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    gc.collect()
-    if dfs:
-        dfs[0].sparkSession.sparkContext._jvm.System.gc()
+    tidy(dfs[0].sparkSession)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +96,50 @@ def shingle_hashes(words: list[bytes], cache: WordHashes, n: int = SHINGLE_WORDS
     return rolled(h, min(n, len(words)))
 
 
-def shingle_set(text: str | None, cache: WordHashes, n: int = SHINGLE_WORDS) -> np.ndarray:
-    """Sorted distinct shingle hashes of a whole text."""
-    return np.unique(shingle_hashes(words_of(text), cache, n))
+# Hashing the words of a whole text at once: a sum of random numbers by byte, times powers of an odd number by place.
+_BY_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _MULT)
+_BY_BYTE[65:91] = _BY_BYTE[97:123]  # A-Z as a-z
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse, n or more of them."""
+    if len(_POWERS["up"]) < n:
+        size = 1 << (n - 1).bit_length()
+        for name, base in (("up", int(_MULT)), ("down", pow(int(_MULT), -1, 1 << 64))):
+            _POWERS[name] = np.cumprod(np.append(np.uint64(1), np.full(size - 1, base, np.uint64)))
+    return _POWERS["up"], _POWERS["down"]
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words in order, split and lower-cased as words_of() does."""
+    if not text:
+        return np.empty(0, np.uint64)
+    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[b], [True]))))
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _powers(len(b))
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_BY_BYTE[b] * up[: len(b)], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def shingle_set(text: str | None, n: int = SHINGLE_WORDS) -> np.ndarray:
+    """Sorted distinct shingle hashes of a whole text; with fewer words, of the whole sequence; none without words."""
+    h = word_hashes(text)
+    return np.unique(rolled(h, min(n, len(h)))) if len(h) else h
+
+
+def sliced(batches, rows: int = 512):
+    """Record batches of at most so many rows, so that what is made of one stays small."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let go of shuffle files of finished jobs to which no DataFrame refers any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHashes, discard, materialize, mix, shingle_set, table
+from .common import discard, materialize, mix, shingle_set, sliced, table, tidy
 from .components import components
 
 QUERY = "op5_multi_order_jaccard"
@@ -68,9 +68,9 @@ def digest(tokens: np.ndarray) -> int:
     return 0 if not len(tokens) else int(np.array([xxhash.xxh3_64_intdigest(tokens.tobytes()) | 1], np.uint64).view(np.int64)[0])
 
 
-def _sets(batch, cache):
+def _sets(batch):
     for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-        yield doc_id, shingle_set(text, cache)
+        yield doc_id, shingle_set(text)
 
 
 def _pass_one(docs: DataFrame) -> DataFrame:
@@ -78,11 +78,11 @@ def _pass_one(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
-        cache, sketch = WordHashes(), np.zeros(CELLS, np.uint32)
+        sketch = np.zeros(CELLS, np.uint32)
         used = False
-        for b in batches:
+        for b in sliced(batches):
             rows = []
-            for doc_id, s in _sets(b, cache):
+            for doc_id, s in _sets(b):
                 rows.append((doc_id, len(s), digest(s)))
                 np.add.at(sketch, (s & np.uint64(CELLS - 1)).astype(np.int64), 1)
             used = used or bool(rows)
@@ -123,10 +123,9 @@ def _index(docs: DataFrame, shared, percent: int) -> DataFrame:
     """(token, cid, n, pos): the prefix of every document under the first order, and each token's place in it."""
 
     def run(batches):
-        cache = WordHashes()
-        for b in batches:
+        for b in sliced(batches):
             tokens, cids, ns, at = [], [], [], []
-            for _, s in _sets(b, cache):
+            for _, s in _sets(b):
                 if len(s):
                     p = prefix_length(len(s), percent)
                     tokens.append(rarest_first(s, frequency_class(s, shared.value))[:p])
@@ -154,12 +153,11 @@ def _texts_to_sets(docs: DataFrame, ids: DataFrame, shared, percent: int) -> Dat
     extra = [f"p{k}" for k in range(len(ORDERS))]
 
     def run(batches):
-        cache = WordHashes()
-        for b in batches:
+        for b in sliced(batches):
             keep = bitmap.value[b["bit"].to_numpy()]
             b = b.filter(pa.array(keep))
             rows = []
-            for _, s in _sets(b, cache):
+            for _, s in _sets(b):
                 if len(s):
                     p, f = prefix_length(len(s), percent), frequency_class(s, shared.value)
                     rows.append((digest(s), len(s), s.view(np.int64), *((rarest_first(s, f, o)[:p] >> np.uint64(32)).astype(np.uint32).view(np.int32) for o in ORDERS)))
@@ -201,6 +199,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     whole = near.join(_side(sets, near, "a", ["n", "tokens"]), "a").join(_side(sets, near, "b", ["n", "tokens"]), "b")
     both = F.size(F.array_intersect("a_tokens", "b_tokens"))
     links = materialize(whole.filter(100 * both >= percent * (F.col("a_n") + F.col("b_n") - both)).select("a", "b").distinct(), "links")
+    del whole, both
     discard(near)
     return links
 
@@ -219,6 +218,8 @@ def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFram
     grouped = one_each.withColumn("size", F.count("*").over(group)).withColumn("pivot", F.min(F.struct(F.xxhash64("cid").alias("prio"), "cid", "n", "pos")).over(group)).filter("size > 1")
     index = materialize(grouped.select("token", "cid", "n", "pos", F.col("pivot.cid").alias("pivot"), F.col("pivot.n").alias("n_p"), F.col("pivot.pos").alias("pos_p")), "index")
 
+    del one_each, grouped
+    tidy(spark)
     ids = index.select("cid").distinct().join(names, "cid").select("doc_id")
     sets = materialize(_texts_to_sets(docs, ids, shared, percent), "tokens")
 
