@@ -176,9 +176,9 @@ def _near(a: str, b: str, percent: int):
     return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & ((100 + percent) * most >= percent * (n_a + n_b))
 
 
-def _size_class(n):
+def _size_class(n, percent: int = PERCENT):
     """Sets whose sizes allow similarity are in the same class or in neighbouring ones."""
-    return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.2500001))).cast("int")
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / percent + 1e-7))).cast("int")
 
 
 def _side(sets: DataFrame, pairs: DataFrame, side: str, columns: list[str]) -> DataFrame:
@@ -244,8 +244,8 @@ def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFram
         else:
             side = lambda s: rest.select("token", F.col("cid").alias(f"cid{s}"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"pos{s}"), F.col("label").alias(f"label{s}"))
             # the smaller set's token is among its first, else too little is left: _near() with sizes that are equal
-            small = side("_a").filter((100 + percent) * (F.col("n_a") - F.col("pos_a")) >= 2 * percent * F.col("n_a")).withColumn("size", _size_class(F.col("n_a")))
-            large = side("_b").withColumn("size", F.explode(F.array(_size_class(F.col("n_b")), _size_class(F.col("n_b")) - 1)))
+            small = side("_a").filter((100 + percent) * (F.col("n_a") - F.col("pos_a")) >= 2 * percent * F.col("n_a")).withColumn("size", _size_class(F.col("n_a"), percent))
+            large = side("_b").withColumn("size", F.explode(F.array(_size_class(F.col("n_b"), percent), _size_class(F.col("n_b"), percent) - 1)))
             order = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("cid_a") < F.col("cid_b")))
             met = (small["token"] == large["token"]) & (small["size"] == large["size"]) & order & (F.col("label_a") != F.col("label_b")) & _near("_a", "_b", percent)
             pairs = small.join(large, met).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct()

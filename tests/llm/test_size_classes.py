@@ -1,0 +1,10 @@
+import pytest
+from pixelquarry.llm import ngram_join
+from pyspark.sql import functions as F
+
+
+@pytest.mark.parametrize("percent", [1, 30, 50, 80, 100])
+def test_sizes_that_allow_similarity_are_neighbours(spark, percent):
+    sizes = [n for n in range(1, 400)]
+    cls = {r["n"]: r["c"] for r in spark.createDataFrame([(n,) for n in sizes], "n int").select("n", ngram_join._size_class(F.col("n"), percent).alias("c")).collect()}
+    assert all(0 <= cls[m] - cls[n] <= 1 for n in sizes for m in sizes if n <= m and 100 * n >= percent * m)
