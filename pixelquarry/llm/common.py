@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SHINGLE_WORDS = 5
 #: Distinct words whose hashes one Python worker keeps; the table is emptied when full, so memory stays bounded.
@@ -39,6 +40,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs, stored, with a column __row of numbers that are distinct and stay the same."""
+    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
 def discard(*dfs: DataFrame) -> None:
     """Delete what materialize() stored for them. Only for tables from which nothing is read any more, all that came of them being stored itself.
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, WordHashes, materialize, shingle_hashes, table, words_of
+from .common import SHINGLE_WORDS, WordHashes, materialize, numbered, shingle_hashes, table, words_of
 
 QUERY = "op10_minhash_containment"
 #: In hundredths, so that the comparison is exact.
@@ -142,9 +142,10 @@ def _joined(docs: DataFrame, sets: DataFrame, percent: int, kinds: list[int]) ->
 
 
 def clean(docs: DataFrame, items: DataFrame, percent: int = CONTAINMENT) -> DataFrame:
-    """docs without those that contain an item; columns as they were, rows with a null doc_id kept."""
-    found = contained(docs, items, percent).select("doc_id").distinct().withColumnRenamed("doc_id", "__leaked")
-    return docs.join(found, F.col("doc_id") == F.col("__leaked"), "left_anti")
+    """docs without the rows that contain an item, whatever their doc_id; columns as they were."""
+    kept = numbered(docs)
+    found = contained(kept.select(F.col("__row").alias("doc_id"), "text"), items, percent).select(F.col("doc_id").alias("__row")).distinct()
+    return kept.join(found, "__row", "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

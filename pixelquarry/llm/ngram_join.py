@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, materialize, mix, shingle_set, sliced, table, tidy
+from .common import discard, materialize, mix, numbered, shingle_set, sliced, table, tidy
 from .components import components
 
 QUERY = "op5_multi_order_jaccard"
@@ -268,9 +268,14 @@ def component_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each component, that with the least doc_id; rows without words or doc_id all stay. Columns as they were."""
-    found = component_of(docs, percent).filter("n_shingles > 0 AND doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """docs with one row of each component, that with the least doc_id, one without doc_id only where none has any; rows without words all stay. Columns as they were."""
+    # rows are told apart by a number, as doc_ids may repeat or be null
+    kept = numbered(docs)
+    parts = materialize(component_of(kept.select(F.col("__row").alias("doc_id"), "text"), percent).filter("n_shingles > 0").select(F.col("doc_id").alias("__row"), "component_id"), "parts")
+    ids = kept.select("__row", F.col("doc_id").cast("long").alias("doc_id"))
+    first = parts.join(ids, "__row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first"))
+    gone = parts.select("__row").join(first.select("first.__row"), "__row", "left_anti")
+    return kept.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
