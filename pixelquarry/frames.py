@@ -15,7 +15,7 @@ DDL = "image_id long, frame_no int, width int, height int, channels int, dtype s
 _ARROW = pa.schema([("image_id", pa.int64()), ("frame_no", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("dtype", pa.string()), ("alpha", pa.string()), ("pixels", pa.binary())])
 _PIXELS = pa.schema([("image_id", pa.int64()), ("frame_no", pa.int32()), ("y", pa.int32()), ("x", pa.int32()), *((c, pa.int32()) for c in "rgba")])
 #: Bytes of pixels in one Arrow batch that leaves a task.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def batch_of(rows) -> pa.RecordBatch:
@@ -65,20 +65,32 @@ class Chain:
     def apply(self, frames: DataFrame) -> DataFrame:
         steps = self.steps
 
+        def done(held):
+            """Rows (image_id, frame_no, width, height, pixels), which kernels get together where they take many and the sizes are equal."""
+            values = [to_float(p, w, h) for _, _, w, h, p in held]
+            for k, (kernel, args, kw) in enumerate(steps):
+                values = [quantized(v) for v in values] if k else values
+                many = getattr(kernel, "many", None)
+                if many is None:
+                    values = [kernel(v, *args, **kw) for v in values]
+                    continue
+                for shape in {v.shape for v in values}:
+                    own = [i for i, v in enumerate(values) if v.shape == shape]
+                    for i, v in zip(own, many(np.stack([values[i] for i in own]), *args, **kw), strict=True):
+                        values[i] = v
+            return batch_of([(i, f, to_bytes(v)) for (i, f, *_), v in zip(held, values, strict=True)])
+
         def run(batches):
             for b in batches:
-                out, held = [], 0
-                for i, f, w, h, p in zip(*(b[c].to_pylist() for c in ("image_id", "frame_no", "width", "height", "pixels"))):
-                    v = to_float(p, w, h)
-                    for k, (kernel, args, kw) in enumerate(steps):
-                        v = kernel(quantized(v) if k else v, *args, **kw)
-                    out.append((i, f, to_bytes(v)))
-                    held += out[-1][2].nbytes
-                    if held >= BATCH_BYTES:
-                        yield batch_of(out)
-                        out, held = [], 0
-                if out:
-                    yield batch_of(out)
+                held, size = [], 0
+                for row in zip(*(b[c].to_pylist() for c in ("image_id", "frame_no", "width", "height", "pixels")), strict=True):
+                    held.append(row)
+                    size += len(row[4])
+                    if size >= BATCH_BYTES:
+                        yield done(held)
+                        held, size = [], 0
+                if held:
+                    yield done(held)
 
         return frames.select("image_id", "frame_no", "width", "height", "pixels").mapInArrow(run, DDL)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+import numpy as np
 
 from ..functions.expr import KEYS, inside, operator
 
@@ -111,53 +111,65 @@ def memory_size(source, bits: int = 32):
 ANCHORS = {"center": (0.5, 0.5), "top": (0.5, 0), "bottom": (0.5, 1), "left": (0, 0.5), "right": (1, 0.5), "top_left": (0, 0), "top_right": (1, 0), "bottom_left": (0, 1), "bottom_right": (1, 1)}
 
 
-def _half_even(v: float) -> int:
-    return round(v)
+#: Mode -> whether the scaled source covers the target (or else lies in it), and how its free side is rounded.
+FITS = {"crop": (True, np.ceil), "pad": (False, np.rint), "box_pad": (False, np.rint), "max": (False, np.rint)}
+
+
+def _length(v) -> int:
+    return max(1, int(v))
+
+
+def _offset(free, anchor: float) -> int:
+    """Where something begins that leaves so much free."""
+    return int(np.rint(free * np.float32(anchor)))
+
+
+def _kept_axis(source, target) -> int:
+    """For "min": the axis (0 or 1) that gets its target length, the one that shrinks by less; of equal ones the longer target's other axis."""
+    less = source - target
+    return int(less[0] > less[1]) if less[0] != less[1] else int(target[1] <= target[0])
 
 
 def resize_geometry(source: tuple[int, int], target: tuple[int, int], mode: str = "stretch", anchor: str = "center", center: tuple[float, float] | None = None, rect=None):
-    """((width, height) of the canvas, (x, y, width, height) into which the source is drawn). A zero in target keeps the aspect."""
-    (sw, sh), (w, h) = source, target
-    if not (w or h):
+    """((width, height) of the canvas, (x, y, width, height) into which the source is drawn). A zero in target keeps the aspect.
+
+    Lengths are 32-bit floats, halves are rounded to even, as in the fixed semantics of these modes.
+    """
+    s = np.array(source, np.float32)
+    given = np.array(target, np.float32)
+    if not given.any():
         raise ValueError("width or height is needed")
-    if not w:
-        w = max(1, _half_even(sw * (h / sh)))
-    if not h:
-        h = max(1, _half_even(sh * (w / sw)))
+    if not given.all():
+        have = int(given[0] == 0)
+        given[1 - have] = _length(np.rint(s[1 - have] * (given[have] / s[have])))
+    size = [int(v) for v in given]
     if mode == "manual":
-        return (w, h), tuple(rect)
+        return tuple(size), tuple(rect)
     if mode == "stretch":
-        return (w, h), (0, 0, w, h)
-    ax, ay = ANCHORS[anchor]
-    px, py = abs(w / sw), abs(h / sh)
-    if mode == "crop":
-        if px < py:
-            tw = math.ceil(sw * py)
-            x = _half_even(min(0, max(w - tw, w / 2 - center[0] * tw))) if center else int((w - tw) * ax) if ax != 0.5 else _half_even((w - sw * py) / 2)
-            return (w, h), (x, 0, tw, h)
-        th = math.ceil(sh * px)
-        y = _half_even(min(0, max(h - th, h / 2 - center[1] * th))) if center else int((h - th) * ay) if ay != 0.5 else _half_even((h - sh * px) / 2)
-        return (w, h), (0, y, w, th)
-    if mode == "box_pad" and w >= sw and h >= sh:  # smaller than the box: not scaled, only placed
-        return (w, h), (_half_even((w - sw) * ax), _half_even((h - sh) * ay), sw, sh)
-    if mode in ("pad", "box_pad"):
-        if py < px:
-            tw = max(1, _half_even(sw * py))
-            return (w, h), (_half_even((w - sw * py) * ax), 0, tw, h)
-        th = max(1, _half_even(sh * px))
-        return (w, h), (0, _half_even((h - sh * px) * ay), w, th)
-    if mode == "max":
-        if h / w < sh / sw:
-            w = max(1, _half_even(sw * py))
-        else:
-            h = max(1, _half_even(sh * px))
-        return (w, h), (0, 0, w, h)
+        return tuple(size), (0, 0, *size)
+    scale, at, drawn = given / s, [0, 0], list(size)
     if mode == "min":
-        if w > sw or h > sh:  # it doesn't grow
-            return (sw, sh), (0, 0, sw, sh)
-        if h / w > sh / sw:
-            w = max(1, _half_even(sw * py))
-        else:
-            h = max(1, _half_even(sh * px))
-        return (w, h), (0, 0, w, h)
-    raise ValueError(mode)
+        if (given > s).any():  # it doesn't grow
+            return tuple(source), (0, 0, *source)
+        kept = _kept_axis(s, given)
+        drawn[1 - kept] = _length(np.rint(s[1 - kept] * scale[kept]))
+        return tuple(drawn), (0, 0, *drawn)
+    if mode == "box_pad" and (s < given).all():  # not scaled, only placed
+        return tuple(size), (*(int((g - l) * a) for g, l, a in zip(size, source, ANCHORS[anchor], strict=True)), *source)
+    covers, whole = FITS[mode]
+    # one axis gets its target length, the other one is free
+    if covers:
+        tight = int(scale[0] <= scale[1])
+    else:
+        tight = int(scale[1] < scale[0]) if mode != "max" else int(scale[0] >= scale[1])
+    free = 1 - tight
+    length = s[free] * scale[tight]
+    drawn[free] = _length(whole(length))
+    if mode == "max":
+        return tuple(drawn), (0, 0, *drawn)
+    left = given[free] - length
+    if covers and center is not None:  # the point comes to the middle as far as the source still covers the target
+        at[free] = int(min(0, max(np.rint(left), np.rint(given[free] / np.float32(2) - length * np.float32(center[free])))))
+    else:
+        at[free] = _offset(left, ANCHORS[anchor][free])
+    return tuple(size), (*at, *drawn)

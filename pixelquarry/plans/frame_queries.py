@@ -10,6 +10,7 @@ from ..kernels import quantize as Q
 from ..kernels import resample as R
 from ..operators import neighbourhood as N
 from ..operators import palette as P
+from . import frame_oracles as O
 
 
 def _kernel(f, *args, **kw):
@@ -48,11 +49,11 @@ FRAMES = {
     **{f"ordered_dither_{n}": _q(P.ordered_dither, COLOURS, n) for n in (2, 3, 4, 8, 16)},
     "oil_paint": (_kernel(C.oil_paint, 10, 7), None),
     "entropy_crop": (_kernel(C.entropy_crop, 0.9), None),
-    "rotate_30": (_kernel(R.rotate, 30.0), None),
-    "skew": (_kernel(R.skew, 12.0, 7.0), None),
-    "transform_affine": (_kernel(R.transform_by, R.Builder().scale(1.2, 0.8).rotate(15.0).translate(2, 3)), None),
-    "transform_taper": (_kernel(R.transform_by, R.Builder().taper("right", "both", 0.6)), None),
-    "transform_quad": (_kernel(R.transform_by, R.Builder().quad([(2, 3), (30, 1), (28, 31), (0, 26)])), None),
+    "rotate_30": (_kernel(R.rotate, 30.0), lambda s: O.rotated(s, 30.0)),
+    "skew": (_kernel(R.skew, 12.0, 7.0), lambda s: O.skewed(s, 12.0, 7.0)),
+    "transform_affine": (_kernel(R.transform_by, R.Builder().scale(1.2, 0.8).rotate(15.0).translate(2, 3)), lambda s: O.scaled_turned_moved(s, 1.2, 0.8, 15.0, 2, 3)),
+    "transform_taper": (_kernel(R.transform_by, R.Builder().taper("right", "both", 0.6)), lambda s: O.right_side_shrunk(s, 0.6)),
+    "transform_quad": (_kernel(R.transform_by, R.Builder().quad([(2, 3), (30, 1), (28, 31), (0, 26)])), lambda s: O.onto_quad(s, [(2, 3), (30, 1), (28, 31), (0, 26)])),
     "chain_blur_edges": ((lambda px: explode(Chain().then(C.gaussian_blur, 1.0).then(C.detect_edges, "sobel").apply(assemble(px)))), lambda s: N.edges_two_way.sql(f"({N.separable.sql(s, C.gaussian_kernel(1.0))})", C.SOBEL_X, C.SOBEL_Y)),
 }
 
@@ -75,7 +76,7 @@ FRAMES["bokeh_blur"] = _kernel(B.bokeh_blur, 4, 2), None
 FRAMES["clahe"] = _kernel(H.clahe, 256, 20, 4), None
 FRAMES["clahe_sliding"] = _kernel(H.clahe_sliding, 256, None, 4), None
 for _name in Q.DIFFUSIONS:
-    FRAMES[f"diffuse_{_name}"] = _kernel(Q.diffuse, COLOURS, _name), None
-FRAMES["binary_dither"] = _kernel(Q.binary_dither), None
+    FRAMES[f"diffuse_{_name}"] = _kernel(Q.diffuse, COLOURS, _name), (lambda s, k=_name: O.diffusion(s, COLOURS, k))
+FRAMES["binary_dither"] = _kernel(Q.binary_dither), lambda s: O.diffusion(s, [(255, 255, 255, 255), (0, 0, 0, 255)], "floyd_steinberg")
 FRAMES["quantize_wu"] = _kernel(Q.quantize, "wu", 32, None), None
 FRAMES["quantize_tree"] = _kernel(Q.quantize, "tree", 32, None), None
