@@ -121,3 +121,23 @@ def onto_quad(source: str, corners) -> str:
     rows = ((e - f * h, c * h - b, b * f - c * e), (f * g - d, a - c * g, c * d - a * f), (d * h - e * g, b * g - a * h, a * e - b * d))
     top_x, top_y, under = (f"({p!r} * u + {q!r} * v + {r!r})" for p, q, r in rows)
     return warped(source, _room(corners), f"{SIDE} * {top_x} / {under}", f"{SIDE} * {top_y} / {under}")
+
+
+def jpeg_round_trip(source: str, quality: int, gray: bool = False) -> str:
+    """8x8 blocks of luminance and chroma, their cosine transforms in whole steps, and back. Without subsampling, so a frame's blocks lie apart."""
+    from ..sources.jpeg import STEPS
+
+    scale = f"CASE WHEN {quality} < 50 THEN 5000 // {quality} ELSE 200 - 2 * {quality} END"
+    steps = " UNION ALL ".join(f"SELECT {k} AS t, i, greatest(1, least(255, ({list(table)}[i + 1] * ({scale}) + 50) // 100)) AS step FROM range(64) AS r(i)" for k, table in enumerate(STEPS))
+    parts = ["0.299e0 * r + 0.587e0 * g + 0.114e0 * b - 128"] + ([] if gray else ["-0.168736e0 * r - 0.331264e0 * g + 0.5e0 * b", "0.5e0 * r - 0.418688e0 * g - 0.081312e0 * b"])
+    planes = " UNION ALL ".join(f"SELECT image_id, frame_no, {k} AS c, y // 8 AS yb, x // 8 AS xb, y % 8 AS y, x % 8 AS x, {v} AS v FROM {source} AS s" for k, v in enumerate(parts))
+    block = "image_id, frame_no, c, yb, xb"
+    one = lambda rows, by, to, other, cos: f"SELECT {block}, {other}, k.{to} AS {to}, sum(v * k.w) AS v FROM ({rows}) AS s JOIN ({cos}) AS k ON k.{by} = s.{by} GROUP BY {block}, {other}, k.{to}"
+    wave = lambda k, at: f"SELECT f.f AS {k}, p.p AS {at}, CASE WHEN f.f = 0 THEN sqrt(0.125e0) ELSE 0.5e0 END * cos((2 * p.p + 1) * f.f * pi() / 16) AS w FROM range(8) AS f(f) CROSS JOIN range(8) AS p(p)"
+    there = one(one(planes, "x", "u", "y", wave("u", "x")), "y", "q", "u", wave("q", "y"))
+    coarse = f"SELECT {block}, q, u, floor(v / step + 0.500000001e0) * step AS v FROM ({there}) AS s JOIN ({steps}) AS t ON t.t = least(c, 1) AND t.i = q * 8 + u"
+    back = one(one(coarse, "u", "x", "q", wave("u", "x")), "q", "y", "x", wave("q", "y"))
+    samples = f"SELECT image_id, frame_no, c, yb * 8 + y AS y, xb * 8 + x AS x, greatest(0, least(255, floor(v + 128.500000001e0))) AS v FROM ({back}) AS s"
+    wide = f"SELECT image_id, frame_no, y, x, max(v) FILTER (c = 0) AS l, coalesce(max(v) FILTER (c = 1), 128) - 128 AS cb, coalesce(max(v) FILTER (c = 2), 128) - 128 AS cr FROM ({samples}) AS s GROUP BY image_id, frame_no, y, x"
+    colour = lambda v: f"CAST(greatest(0, least(255, floor({v} + 0.500000001e0))) AS INT)"
+    return f"SELECT image_id, frame_no, CAST(y AS INT) AS y, CAST(x AS INT) AS x, {colour('l + 1.402e0 * cr')} AS r, {colour('l - 0.344136e0 * cb - 0.714136e0 * cr')} AS g, {colour('l + 1.772e0 * cb')} AS b, 255 AS a FROM ({wide}) AS w"

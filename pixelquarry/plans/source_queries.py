@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..frames import assemble, explode
 from ..sources import files
+from . import frame_oracles as O
 
 ALL = "image_id, frame_no, y, x, r, g, b, a"
 
@@ -50,6 +51,9 @@ SOURCES = {
     "round_trip_pbm": (_round_trip("pbm"), lambda s: f"SELECT image_id, frame_no, y, x, r, g, b, 255 AS a FROM {s}"),
     "round_trip_pbm_plain": (_round_trip("pbm", plain=True), lambda s: f"SELECT image_id, frame_no, y, x, r, g, b, 255 AS a FROM {s}"),
     "round_trip_pbm_gray": (_round_trip("pbm", color="gray"), lambda s: f"SELECT image_id, frame_no, y, x, l AS r, l AS g, l AS b, 255 AS a FROM (SELECT *, CAST(floor(0.2126e0 * r + 0.7152e0 * g + 0.0722e0 * b + 0.5e0) AS INT) AS l FROM {s}) AS gray"),
+    **{f"round_trip_jpeg_{q}": (_round_trip("jpeg", quality=q, subsampled=False), (lambda s, q=q: O.jpeg_round_trip(s, q))) for q in (30, 75, 95)},
+    "round_trip_jpeg_gray": (_round_trip("jpeg", quality=90, gray=True), lambda s: O.jpeg_round_trip(s, 90, True)),
+    "identify_jpeg": _identified("jpeg", 24),
     "detect_format": (_detected, _detected_sql),
     "identify_png": _identified("png", 32),
     "identify_qoi": _identified("qoi", 32),

@@ -1,9 +1,8 @@
 """Image files to frames and back, with numpy and zlib. Each decoder gives a list of height x width x 4 uint8 arrays (frames).
 
 A file that can't be decoded raises CodecError; the data source turns that into
-an error column. JPEG pixels come from Spark's own image source (the JVM's
-ImageIO); WebP and EXR are recognised and identified, EXR is decoded where it is
-not compressed or zipped.
+an error column. JPEG is in a module of its own; WebP and EXR are recognised and
+identified, EXR is decoded where it is not compressed or zipped.
 """
 
 from __future__ import annotations
@@ -15,6 +14,8 @@ import zlib
 
 import numpy as np
 
+from .jpeg import decode_jpeg, encode_jpeg
+
 
 class CodecError(ValueError):
     pass
@@ -1016,16 +1017,19 @@ def identify(data: bytes) -> dict:
     return out
 
 
-DECODERS = {"png": decode_png, "gif": decode_gif, "bmp": decode_bmp, "pbm": decode_pbm, "tga": decode_tga, "qoi": decode_qoi, "tiff": decode_tiff, "ico": decode_icon, "cur": decode_icon, "ani": decode_ani, "exr": decode_exr}
-ENCODERS = {"png": encode_png, "gif": encode_gif, "bmp": encode_bmp, "pbm": encode_pbm, "tga": encode_tga, "qoi": encode_qoi, "tiff": encode_tiff, "ico": encode_icon, "cur": lambda f, **k: encode_icon(f, True, **k), "ani": encode_ani}
+DECODERS = {"png": decode_png, "jpeg": decode_jpeg, "gif": decode_gif, "bmp": decode_bmp, "pbm": decode_pbm, "tga": decode_tga, "qoi": decode_qoi, "tiff": decode_tiff, "ico": decode_icon, "cur": decode_icon, "ani": decode_ani, "exr": decode_exr}
+ENCODERS = {"png": encode_png, "jpeg": encode_jpeg, "gif": encode_gif, "bmp": encode_bmp, "pbm": encode_pbm, "tga": encode_tga, "qoi": encode_qoi, "tiff": encode_tiff, "ico": encode_icon, "cur": lambda f, **k: encode_icon(f, True, **k), "ani": encode_ani}
 
 
-def decode(data: bytes, max_frames: int | None = None) -> list[np.ndarray]:
+def decode(data: bytes | None, max_frames: int | None = None, target: tuple[int, int] | None = None) -> list[np.ndarray]:
+    """The frames; those of a JPEG no larger than they have to be for the target size."""
+    if data is None:
+        raise CodecError("no content")
     kind = detect(data)
     if kind not in DECODERS:
         raise CodecError(f"no decoder for {kind or 'this file'}")
     try:
-        return DECODERS[kind](data)[:max_frames]
+        return (decode_jpeg(data, target) if kind == "jpeg" and DECODERS[kind] is decode_jpeg else DECODERS[kind](data))[:max_frames]
     except CodecError:
         raise
     except (struct.error, zlib.error, ValueError, IndexError, KeyError, TypeError) as e:

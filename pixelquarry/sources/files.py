@@ -9,6 +9,7 @@ column back, ``save`` writes files.
 from __future__ import annotations
 
 import base64
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from ..kernels import resample
 from ..kernels.base import to_bytes
 from . import codecs
 
-SUFFIXES = {"png": "png", "gif": "gif", "bmp": "bmp", "pbm": "ppm", "tga": "tga", "qoi": "qoi", "tiff": "tiff", "ico": "ico", "cur": "cur", "ani": "ani"}
+SUFFIXES = {"png": "png", "jpeg": "jpg", "gif": "gif", "bmp": "bmp", "pbm": "ppm", "tga": "tga", "qoi": "qoi", "tiff": "tiff", "ico": "ico", "cur": "cur", "ani": "ani"}
 MIME = {"png": "image/png", "gif": "image/gif", "bmp": "image/bmp", "pbm": "image/x-portable-pixmap", "tga": "image/x-tga", "qoi": "image/qoi", "tiff": "image/tiff", "ico": "image/x-icon", "cur": "image/x-icon", "ani": "application/x-navi-animation", "jpeg": "image/jpeg", "webp": "image/webp", "exr": "image/x-exr"}
 
 
@@ -44,22 +45,34 @@ def detect_format(content: Column) -> Column:
 
 
 def identify(files: DataFrame) -> DataFrame:
-    """(path, format, width, height, bits, frames) of a frame with path and content; no pixel is decoded."""
-    names = ["path", "format", "width", "height", "bits", "frames"]
-    types = [pa.string(), pa.string(), *[pa.int32()] * 4]
+    """(path, format, width, height, bits, frames, error) of a frame with path and content; no pixel is decoded."""
+    names = ["path", "format", "width", "height", "bits", "frames", "error"]
+    types = [pa.string(), pa.string(), *[pa.int32()] * 4, pa.string()]
 
     def run(batches):
         for b in batches:
             rows = []
             for path, data in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
                 try:
-                    i = codecs.identify(data)
-                except (ValueError, IndexError, KeyError, Exception) as e:  # noqa: B014
-                    i = {"format": f"error: {e}", "width": None, "height": None, "bits": None, "frames": None}
+                    i = dict.fromkeys(names) | (codecs.identify(data) if data is not None else {"error": "no content"})
+                except (ValueError, IndexError, KeyError, TypeError, struct.error) as e:
+                    i = dict.fromkeys(names) | {"error": f"{type(e).__name__}: {e}"}
                 rows.append((path, *(i[n] for n in names[1:])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names)
 
-    return files.select("path", "content").mapInArrow(run, "path string, format string, width int, height int, bits int, frames int")
+    return files.select("path", "content").mapInArrow(run, "path string, format string, width int, height int, bits int, frames int, error string")
+
+
+def _least(data: bytes | None, target: tuple[int, int]) -> tuple[int, int] | None:
+    """The size to which a JPEG is scaled, so that its decoder can leave out what is finer; None for others."""
+    if not data or codecs.detect(data) != "jpeg":
+        return None
+    size = codecs.identify(data)
+    return codecs.scaled_size(size["width"], size["height"], target) if size.get("width") and size.get("height") else None
+
+
+def _sized(a: np.ndarray, target: tuple[int, int] | None) -> np.ndarray:
+    return to_bytes(resample.resize(a / 255.0, *codecs.scaled_size(a.shape[1], a.shape[0], target), "box")) if target else a
 
 
 def decode(files: DataFrame, max_frames: int | None = None, target: tuple[int, int] | None = None) -> DataFrame:
@@ -69,11 +82,7 @@ def decode(files: DataFrame, max_frames: int | None = None, target: tuple[int, i
         for b in batches:
             for i, data in zip(b["image_id"].to_pylist(), b["content"].to_pylist(), strict=True):
                 try:
-                    rows = []
-                    for k, a in enumerate(codecs.decode(data, max_frames)):
-                        if target:
-                            a = to_bytes(resample.resize(a / 255.0, *codecs.scaled_size(a.shape[1], a.shape[0], target), "box"))
-                        rows.append((i, k, a))
+                    rows = [(i, k, _sized(a, target)) for k, a in enumerate(codecs.decode(data, max_frames, target and _least(data, target)))]
                     yield batch_of(rows)
                 except codecs.CodecError as e:
                     yield pa.RecordBatch.from_pylist([{"image_id": i, "frame_no": 0, "width": 0, "height": 0, "channels": 0, "dtype": f"error: {e}", "alpha": None, "pixels": None}], batch_of([]).schema)
@@ -138,9 +147,8 @@ class _RasterReader(DataSourceReader):
             with store.open_input_file(path) as handle:
                 data = handle.read()
             try:
-                for k, a in enumerate(codecs.decode(data, most)):
-                    if target:
-                        a = to_bytes(resample.resize(a / 255.0, *codecs.scaled_size(a.shape[1], a.shape[0], target), "box"))
+                for k, a in enumerate(codecs.decode(data, most, target and _least(data, target))):
+                    a = _sized(a, target)
                     yield (path, k, a.shape[1], a.shape[0], a.tobytes(), None)
             except codecs.CodecError as e:
                 yield (path, 0, None, None, None, str(e))
