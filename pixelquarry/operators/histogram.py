@@ -50,10 +50,16 @@ def _cdf_of(source, levels, clip):
     return cdf.sql(f"({h}) AS histogram")
 
 
+def _table(source, levels, clip):
+    """(image_id, frame_no, bin, c, least, total): the running sums, and the image's pixels from its histogram."""
+    totals = f"SELECT image_id, frame_no, sum(n) AS total FROM ({luminance_histogram.sql(source, levels)}) AS histogram GROUP BY image_id, frame_no"
+    return f"SELECT f.*, s.total FROM ({_cdf_of(source, levels, clip)}) AS f JOIN ({totals}) AS s ON s.image_id = f.image_id AND s.frame_no = f.frame_no"
+
+
 def _with_cdf(source, levels, clip):
-    """Pixels with their bin's c, the image's least and its pixel count."""
-    counted = f"SELECT {KEYS}, r, g, b, a, {level(levels)} AS bin, count(*) OVER (PARTITION BY image_id, frame_no) AS total FROM {source}"
-    return f"SELECT p.*, t.c, t.least FROM ({counted}) AS p JOIN ({_cdf_of(source, levels, clip)}) AS t ON t.image_id = p.image_id AND t.frame_no = p.frame_no AND t.bin = p.bin"
+    """Pixels with their bin's c, the image's least and its pixel count; pixels are only joined, with a row for each bin."""
+    binned = f"SELECT {KEYS}, r, g, b, a, {level(levels)} AS bin FROM {source}"
+    return f"SELECT p.*, t.c, t.least, t.total FROM ({binned}) AS p JOIN ({_table(source, levels, clip)}) AS t ON t.image_id = p.image_id AND t.frame_no = p.frame_no AND t.bin = p.bin"
 
 
 @operator

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from ..frames import process_pixels
 from ..functions.expr import KEYS, half_even, inside, luma8, num, operator, scaled
+from ..kernels import threshold as kernel
 
 WHITE, BLACK = (255, 255, 255, 255), (0, 0, 0, 255)
 
@@ -45,8 +47,7 @@ def integral_image(source, rect=None):
     return f"SELECT {KEYS}, l, CAST(sum(row_sum) OVER (PARTITION BY image_id, frame_no, x ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM ({across}) AS across"
 
 
-@operator
-def adaptive_threshold(source, limit: float = 0.85, upper=WHITE, lower=BLACK):
+def _adaptive_sql(source, limit: float = 0.85, upper=WHITE, lower=BLACK):
     """A pixel is the lower colour where it is darker than the limit's share of its neighbourhood's mean.
 
     The neighbourhood is a 16th of the width to each side, from one pixel after
@@ -63,3 +64,11 @@ def adaptive_threshold(source, limit: float = 0.85, upper=WHITE, lower=BLACK):
     total = f"({sums['s22']} - {sums['s12']} - {sums['s21']} + {sums['s11']})"
     dark = f"c.l * ((c.x2 - c.x1) * (c.y2 - c.y1)) <= {total} * {num(limit)}"
     return f"SELECT c.image_id, c.frame_no, c.y, c.x, {_pick(dark, lower, upper)} FROM ({corners}) AS c{joins}"
+
+
+def adaptive_threshold(px, limit: float = 0.85, upper=WHITE, lower=BLACK):
+    """A pixel is the lower colour where it is darker than the limit's share of its neighbourhood's mean; a summed table of each packed frame."""
+    return process_pixels(px, kernel.adaptive_threshold, limit, upper, lower)
+
+
+adaptive_threshold.sql = _adaptive_sql
