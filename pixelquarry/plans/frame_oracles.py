@@ -141,3 +141,22 @@ def jpeg_round_trip(source: str, quality: int, gray: bool = False) -> str:
     wide = f"SELECT image_id, frame_no, y, x, max(v) FILTER (c = 0) AS l, coalesce(max(v) FILTER (c = 1), 128) - 128 AS cb, coalesce(max(v) FILTER (c = 2), 128) - 128 AS cr FROM ({samples}) AS s GROUP BY image_id, frame_no, y, x"
     colour = lambda v: f"CAST(greatest(0, least(255, floor({v} + 0.500000001e0))) AS INT)"
     return f"SELECT image_id, frame_no, CAST(y AS INT) AS y, CAST(x AS INT) AS x, {colour('l + 1.402e0 * cr')} AS r, {colour('l - 0.344136e0 * cb - 0.714136e0 * cr')} AS g, {colour('l + 1.772e0 * cb')} AS b, 255 AS a FROM ({wide}) AS w"
+
+
+def resized(source: str, size: tuple[int, int], rect: tuple[int, int, int, int]) -> str:
+    """The frame scaled into a rectangle of the canvas by the cubic of -0.5, weights made to add up to one along each axis; what the rectangle leaves free is clear."""
+    (w, h), (left, top, wide, high) = size, rect
+
+    def axis(n: int) -> str:
+        scale = max(1.0, SIDE / n)
+        t = f"((p.p - ((o.o + 0.5e0) * {SIDE / n!r} - 0.5e0)) / {scale!r})"
+        near = f"SELECT o.o, p.p, {_CUBIC.format(t=t)} AS k FROM range({n}) AS o(o) CROSS JOIN range({SIDE}) AS p(p) WHERE abs{t} <= 2.00000001e0"
+        return f"SELECT o, p, k / sum(k) OVER (PARTITION BY o) AS k FROM ({near}) AS near"
+
+    weighed = ", ".join([*(f"sum(ky.k * kx.k * (s.{c} / 255e0) * (s.a / 255e0)) AS {c}" for c in "rgb"), "sum(ky.k * kx.k * (s.a / 255e0)) AS a"])
+    met = f"SELECT s.image_id, s.frame_no, ky.o AS y, kx.o AS x, {weighed} FROM {source} AS s JOIN ({axis(high)}) AS ky ON ky.p = s.y JOIN ({axis(wide)}) AS kx ON kx.p = s.x GROUP BY s.image_id, s.frame_no, ky.o, kx.o"
+    held = ", ".join(f"least(1, greatest(0, {c})) AS {c}" for c in "rgba")
+    plain = ", ".join([*(f"{_byte(f'CASE WHEN a > 0 THEN {c} / a ELSE {c} END')} AS {c}" for c in "rgb"), f"{_byte('a')} AS a"])
+    done = f"SELECT image_id, frame_no, y + {top} AS y, x + {left} AS x, {plain} FROM (SELECT image_id, frame_no, y, x, {held} FROM ({met}) AS met) AS held"
+    grid = f"SELECT f.image_id, f.frame_no, a.y, b.x FROM (SELECT DISTINCT image_id, frame_no FROM {source} AS f0) AS f CROSS JOIN range({h}) AS a(y) CROSS JOIN range({w}) AS b(x)"
+    return f"SELECT g.image_id, g.frame_no, CAST(g.y AS INT) AS y, CAST(g.x AS INT) AS x, {', '.join(f'coalesce(d.{c}, 0) AS {c}' for c in 'rgba')} FROM ({grid}) AS g LEFT JOIN ({done}) AS d ON d.image_id = g.image_id AND d.frame_no = g.frame_no AND d.y = g.y AND d.x = g.x"

@@ -10,6 +10,7 @@ from ..kernels import quantize as Q
 from ..kernels import resample as R
 from ..operators import neighbourhood as N
 from ..operators import palette as P
+from ..operators.geometry import resize_geometry
 from . import frame_oracles as O
 
 
@@ -25,6 +26,15 @@ def _q(op, *args, **kw):
     return (lambda px: op(px, *args, **kw)), _sql(op, *args, **kw)
 
 
+def _fitted(v, target, mode, anchor):
+    size, rect = resize_geometry((v.shape[1], v.shape[0]), target, mode, anchor)
+    return R.resize(v, *size, target_rect=rect)
+
+
+def _resized(target, mode, anchor="center"):
+    return _kernel(_fitted, target, mode, anchor)
+
+
 LOPSIDED = ((0.1, -0.2, 0.3), (0.05, 0.5, 0.15), (0.0, 0.2, -0.1))
 COLOURS = [(0, 0, 0, 255), (255, 255, 255, 255), (200, 40, 40, 255), (40, 200, 40, 200), (40, 40, 200, 128), (120, 120, 120, 255), (230, 220, 60, 255)]
 FRAMES = {
@@ -43,6 +53,13 @@ FRAMES = {
     **{f"resize_{s}": (_kernel(R.resize, 13, 19, s), _sql(N.resize, R.axis_weights(32, 13, s), R.axis_weights(32, 19, s))) for s in R.SAMPLERS if s != "nearest"},
     "resize_up": (_kernel(R.resize, 50, 45, "lanczos3"), _sql(N.resize, R.axis_weights(32, 50, "lanczos3"), R.axis_weights(32, 45, "lanczos3"))),
     "resize_px": _q(N.resize, R.axis_weights(32, 16, "triangle"), R.axis_weights(32, 16, "triangle")),
+    "resize_crop": (_resized((20, 13), "crop", "bottom"), lambda s: O.resized(s, (20, 13), (0, -7, 20, 20))),
+    "resize_crop_top": (_resized((13, 20), "crop", "top"), lambda s: O.resized(s, (13, 20), (-4, 0, 20, 20))),
+    "resize_pad": (_resized((20, 13), "pad", "left"), lambda s: O.resized(s, (20, 13), (0, 0, 13, 13))),
+    "resize_pad_bottom_right": (_resized((20, 13), "pad", "bottom_right"), lambda s: O.resized(s, (20, 13), (7, 0, 13, 13))),
+    "resize_box_pad": (_resized((40, 37), "box_pad", "bottom"), lambda s: O.resized(s, (40, 37), (4, 5, 32, 32))),
+    "resize_max": (_resized((20, 13), "max"), lambda s: O.resized(s, (13, 13), (0, 0, 13, 13))),
+    "resize_min": (_resized((20, 13), "min"), lambda s: O.resized(s, (20, 20), (0, 0, 20, 20))),
     "resize_compand": (_kernel(R.resize, 20, 20, "bicubic", True), None),
     "quantize_palette": _q(P.quantize, COLOURS),
     "quantize_websafe": _q(P.quantize, P.websafe()),
