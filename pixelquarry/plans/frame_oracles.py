@@ -160,3 +160,33 @@ def resized(source: str, size: tuple[int, int], rect: tuple[int, int, int, int])
     done = f"SELECT image_id, frame_no, y + {top} AS y, x + {left} AS x, {plain} FROM (SELECT image_id, frame_no, y, x, {held} FROM ({met}) AS met) AS held"
     grid = f"SELECT f.image_id, f.frame_no, a.y, b.x FROM (SELECT DISTINCT image_id, frame_no FROM {source} AS f0) AS f CROSS JOIN range({h}) AS a(y) CROSS JOIN range({w}) AS b(x)"
     return f"SELECT g.image_id, g.frame_no, CAST(g.y AS INT) AS y, CAST(g.x AS INT) AS x, {', '.join(f'coalesce(d.{c}, 0) AS {c}' for c in 'rgba')} FROM ({grid}) AS g LEFT JOIN ({done}) AS d ON d.image_id = g.image_id AND d.frame_no = g.frame_no AND d.y = g.y AND d.x = g.x"
+
+
+def resized_in_light(source: str, w: int, h: int) -> str:
+    """The whole frame scaled by the cubic of -0.5, with colours made linear before and compressed after."""
+    linear = lambda c: f"CASE WHEN {c} / 255e0 <= 0.04045e0 THEN {c} / 255e0 / 12.92e0 ELSE pow(({c} / 255e0 + 0.055e0) / 1.055e0, 2.4e0) END * 255e0"
+    light = f"(SELECT image_id, frame_no, y, x, {', '.join(f'{linear(c)} AS {c}' for c in 'rgb')}, a FROM {source} AS src)"
+    text = resized(light, (w, h), (0, 0, w, h))
+    for c in "rgb":  # the colours that are packed to bytes are the linear ones: compress them first
+        plain = f"CASE WHEN a > 0 THEN {c} / a ELSE {c} END"
+        held = f"least(1, greatest(0, {plain}))"
+        text = text.replace(_byte(plain), _byte(f"CASE WHEN {held} <= 0.0031308e0 THEN {held} * 12.92e0 ELSE 1.055e0 * pow({held}, 1 / 2.4e0) - 0.055e0 END"))
+    return text
+
+
+def painted(source: str, levels: int, brush: int) -> str:
+    """Around each pixel, the quadrant up and left of it as far as half the brush, edges repeated: the mean colour of the brightness that is commonest first, scanning it row by row."""
+    r = brush // 2
+    grid = f"SELECT d.d AS dy, e.d AS dx, d.d * {r + 1} + e.d AS n FROM range({r + 1}) AS d(d) CROSS JOIN range({r + 1}) AS e(d)"
+    inside = lambda v: f"greatest(0, least({SIDE - 1}, {v}))"
+    met = f"SELECT p.image_id, p.frame_no, p.y, p.x, g.n, s.r, s.g, s.b, CAST(round_even((s.r / 255e0 + s.g / 255e0 + s.b / 255e0) / 3 * {levels - 1}, 0) AS INT) AS bin FROM {source} AS p CROSS JOIN ({grid}) AS g JOIN {source} AS s ON s.image_id = p.image_id AND s.frame_no = p.frame_no AND s.y = {inside(f'p.y + g.dy - {r}')} AND s.x = {inside(f'p.x + g.dx - {r}')}"
+    bins = f"SELECT image_id, frame_no, y, x, bin, count(*) AS k, max(n) AS last_n, avg(r / 255e0) AS r, avg(g / 255e0) AS g, avg(b / 255e0) AS b FROM ({met}) AS met GROUP BY image_id, frame_no, y, x, bin"
+    best = f"SELECT *, row_number() OVER (PARTITION BY image_id, frame_no, y, x ORDER BY k DESC, last_n) AS place FROM ({bins}) AS bins"
+    return f"SELECT b.image_id, b.frame_no, b.y, b.x, {', '.join(f'{_byte(f'b.{c}')} AS {c}' for c in 'rgb')}, p.a FROM ({best}) AS b JOIN {source} AS p ON p.image_id = b.image_id AND p.frame_no = b.frame_no AND p.y = b.y AND p.x = b.x WHERE b.place = 1"
+
+
+def halved(source: str) -> str:
+    """Means of 2x2 pixels, colours weighed by their alpha."""
+    sums = ", ".join([*(f"sum(({c} / 255e0) * (a / 255e0)) / 4 AS {c}" for c in "rgb"), "sum(a / 255e0) / 4 AS a"])
+    met = f"SELECT image_id, 0 AS frame_no, CAST(floor(y / 2e0) AS INT) AS y, CAST(floor(x / 2e0) AS INT) AS x, {sums} FROM {source} AS s GROUP BY image_id, floor(y / 2e0), floor(x / 2e0)"
+    return f"SELECT image_id, frame_no, y, x, {', '.join(f'{_byte(f'CASE WHEN a > 0 THEN {c} / a ELSE {c} END')} AS {c}' for c in 'rgb')}, {_byte('a')} AS a FROM ({met}) AS met"

@@ -60,11 +60,11 @@ FRAMES = {
     "resize_box_pad": (_resized((40, 37), "box_pad", "bottom"), lambda s: O.resized(s, (40, 37), (4, 5, 32, 32))),
     "resize_max": (_resized((20, 13), "max"), lambda s: O.resized(s, (13, 13), (0, 0, 13, 13))),
     "resize_min": (_resized((20, 13), "min"), lambda s: O.resized(s, (20, 20), (0, 0, 20, 20))),
-    "resize_compand": (_kernel(R.resize, 20, 20, "bicubic", True), None),
+    "resize_compand": (_kernel(R.resize, 20, 20, "bicubic", True), lambda s: O.resized_in_light(s, 20, 20)),
     "quantize_palette": _q(P.quantize, COLOURS),
     "quantize_websafe": _q(P.quantize, P.websafe()),
     **{f"ordered_dither_{n}": _q(P.ordered_dither, COLOURS, n) for n in (2, 3, 4, 8, 16)},
-    "oil_paint": (_kernel(C.oil_paint, 10, 7), None),
+    "oil_paint": (_kernel(C.oil_paint, 10, 7), lambda s: O.painted(s, 10, 7)),
     "entropy_crop": (_kernel(C.entropy_crop, 0.9), None),
     "rotate_30": (_kernel(R.rotate, 30.0), lambda s: O.rotated(s, 30.0)),
     "skew": (_kernel(R.skew, 12.0, 7.0), lambda s: O.skewed(s, 12.0, 7.0)),
