@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .functions import pixel_formats
 from .kernels.base import quantized, to_bytes, to_float
 
 DDL = "image_id long, frame_no int, width int, height int, channels int, dtype string, alpha string, pixels binary"
@@ -102,3 +103,19 @@ def process(frames: DataFrame, kernel: Callable, *args, **kw) -> DataFrame:
 def process_pixels(px: DataFrame, kernel: Callable, *args, **kw) -> DataFrame:
     """A kernel over exploded pixels."""
     return explode(process(assemble(px), kernel, *args, **kw))
+
+
+_PACKED = pa.schema([("image_id", pa.int64()), ("frame_no", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("format", pa.string()), ("pixels", pa.binary())])
+
+
+def clone_as(frames: DataFrame, name: str) -> DataFrame:
+    """(image_id, frame_no, width, height, format, pixels): frames in another pixel format; of frames or of what this gives."""
+    has_format = "format" in frames.columns
+
+    def run(batches):
+        for b in batches:
+            held = b["format"].to_pylist() if has_format else ["Rgba32"] * b.num_rows
+            pixels = [p if f == name else pixel_formats.convert(p, f, name) for p, f in zip(b["pixels"].to_pylist(), held, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in _PACKED.names[:4]), pa.array([name] * b.num_rows, pa.string()), pa.array(pixels, pa.binary())], schema=_PACKED)
+
+    return frames.select(*_PACKED.names[:4], *["format"] * has_format, "pixels").mapInArrow(run, "image_id long, frame_no int, width int, height int, format string, pixels binary")

@@ -6,6 +6,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
+#: Sums of products come in any order; values this near below a half count as a half.
+TIE = 1e-9
+
 
 @dataclass(frozen=True)
 class Format:
@@ -100,7 +103,7 @@ def pack(v: np.ndarray, name: str) -> bytes:
     if f.bits:
         out, at = np.zeros(len(v), np.int64), 0
         for c, n in zip(cols, f.bits):
-            out |= np.floor(c * ((1 << n) - 1) + 0.5).astype(np.int64) << at
+            out |= np.floor(c * ((1 << n) - 1) + 0.5 + TIE).astype(np.int64) << at
             at += n
         return out.astype("<" + f.dtype).tobytes()
     c = np.stack(cols, -1)
@@ -109,7 +112,7 @@ def pack(v: np.ndarray, name: str) -> bytes:
         return (c * f.scale).astype("<" + f.dtype).tobytes()
     if kind == "i":
         return np.rint((c * 2 - 1) * f.scale).astype("<" + f.dtype).tobytes()
-    return np.floor(c * np.iinfo(f.dtype).max + 0.5).astype("<" + f.dtype).tobytes()
+    return np.floor(c * np.iinfo(f.dtype).max + 0.5 + TIE).astype("<" + f.dtype).tobytes()
 
 
 def convert(data: bytes, source: str, target: str) -> bytes:

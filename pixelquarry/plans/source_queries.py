@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..frames import assemble, explode
-from ..sources import files
+from ..frames import assemble, clone_as, explode
+from ..sources import files, metadata
 from . import frame_oracles as O
 
 ALL = "image_id, frame_no, y, x, r, g, b, a"
@@ -43,7 +43,51 @@ def _identified(fmt, bits):
     return run, text
 
 
+def _oriented(fmt, **options):
+    """Every image gets an EXIF orientation by its number, is put upright, and what the file says then is read with its pixels."""
+
+    def run(px):
+        turn = (F.pmod("image_id", F.lit(8)) + 1).cast("int")
+        tags = F.array(F.struct(F.lit("image"), F.lit(0x0112), F.lit(3), turn), F.struct(F.lit("exif"), F.lit(0xA002), F.lit(4), F.lit(7)))
+        upright = files.auto_orient(files.set_exif(files.encode(assemble(px), fmt, **options), tags), fmt, **options)
+        said = metadata.exif_rows(upright).groupBy("image_id").agg(F.max(F.when(F.col("tag") == 0x0112, F.col("value"))).alias("orientation"), F.max(F.when(F.col("tag") == 0xA002, F.col("value"))).alias("pixel_width"))
+        return explode(files.decode(upright)).join(said, "image_id")
+
+    def text(source):
+        turn = "((image_id % 8 + 8) % 8 + 1)"
+        x = f"CASE {turn} WHEN 2 THEN 31 - x WHEN 3 THEN 31 - x WHEN 5 THEN y WHEN 6 THEN 31 - y WHEN 7 THEN 31 - y WHEN 8 THEN y ELSE x END"
+        y = f"CASE {turn} WHEN 3 THEN 31 - y WHEN 4 THEN 31 - y WHEN 5 THEN x WHEN 6 THEN x WHEN 7 THEN 31 - x WHEN 8 THEN 31 - x ELSE y END"
+        return f"SELECT image_id, frame_no, {y} AS y, {x} AS x, r, g, b, a, '1' AS orientation, '32' AS pixel_width FROM {source} AS s"
+
+    return run, text
+
+
+def _cloned(name, columns):
+    """To a pixel format and back; columns: what is left of r, g, b and a, in SQL."""
+
+    def text(source):
+        return f"SELECT image_id, frame_no, y, x, {', '.join(f'CAST({v} AS INT) AS {c}' for c, v in zip('rgba', columns, strict=True))} FROM {source} AS s"
+
+    return (lambda px: explode(clone_as(clone_as(assemble(px), name), "Rgba32"))), text
+
+
+def _coarse(c, bits):
+    top = (1 << bits) - 1
+    return f"floor(floor({c} / 255e0 * {top} + 0.5e0) / {top}e0 * 255 + 0.5e0)"
+
+
+_GRAY = "floor((0.2126e0 * (r / 255e0) + 0.7152e0 * (g / 255e0) + 0.0722e0 * (b / 255e0)) * 255 + 0.500000001e0)"
 SOURCES = {
+    "auto_orient_exif": _oriented("png"),
+    "clone_as_bgr565": _cloned("Bgr565", [_coarse("r", 5), _coarse("g", 6), _coarse("b", 5), "255"]),
+    "clone_as_bgra5551": _cloned("Bgra5551", [*(_coarse(c, 5) for c in "rgb"), _coarse("a", 1)]),
+    "clone_as_bgra4444": _cloned("Bgra4444", [_coarse(c, 4) for c in "rgba"]),
+    "clone_as_rgba1010102": _cloned("Rgba1010102", [*(_coarse(c, 10) for c in "rgb"), _coarse("a", 2)]),
+    "clone_as_bgra32": _cloned("Bgra32", list("rgba")),
+    "clone_as_rgb24": _cloned("Rgb24", ["r", "g", "b", "255"]),
+    "clone_as_rgba64": _cloned("Rgba64", list("rgba")),
+    "clone_as_la16": _cloned("La16", [_GRAY] * 3 + ["a"]),
+    "clone_as_a8": _cloned("A8", ["0", "0", "0", "a"]),
     **{f"round_trip_{f}": (_round_trip(f), _same) for f in ("png", "qoi", "bmp", "tga", "tiff", "ico", "cur", "ani")},
     "round_trip_tga_rle": (_round_trip("tga", rle=True), _same),
     **{f"round_trip_tiff_{c}": (_round_trip("tiff", compression=c), _same) for c in ("none", "lzw", "packbits")},

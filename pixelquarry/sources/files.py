@@ -20,7 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..frames import DDL, batch_of
 from ..kernels import resample
 from ..kernels.base import to_bytes
-from . import codecs
+from . import codecs, metadata
 
 SUFFIXES = {"png": "png", "jpeg": "jpg", "gif": "gif", "bmp": "bmp", "pbm": "ppm", "tga": "tga", "qoi": "qoi", "tiff": "tiff", "ico": "ico", "cur": "cur", "ani": "ani"}
 MIME = {"png": "image/png", "gif": "image/gif", "bmp": "image/bmp", "pbm": "image/x-portable-pixmap", "tga": "image/x-tga", "qoi": "image/qoi", "tiff": "image/tiff", "ico": "image/x-icon", "cur": "image/x-icon", "ani": "application/x-navi-animation", "jpeg": "image/jpeg", "webp": "image/webp", "exr": "image/x-exr"}
@@ -75,6 +75,51 @@ def _sized(a: np.ndarray, target: tuple[int, int] | None) -> np.ndarray:
     return to_bytes(resample.resize(a / 255.0, *codecs.scaled_size(a.shape[1], a.shape[0], target), "box")) if target else a
 
 
+#: EXIF orientation -> the upright frame.
+UPRIGHT = {
+    1: lambda a: a,
+    2: lambda a: a[:, ::-1],
+    3: lambda a: a[::-1, ::-1],
+    4: lambda a: a[::-1],
+    5: lambda a: a.transpose(1, 0, 2),
+    6: lambda a: np.rot90(a, -1),
+    7: lambda a: a[::-1, ::-1].transpose(1, 0, 2),
+    8: lambda a: np.rot90(a),
+}
+
+
+def auto_orient(files: DataFrame, fmt: str, **options) -> DataFrame:
+    """(image_id, content): each file's frames put upright by its EXIF orientation and encoded again; EXIF is kept, with the orientation reset and the size as it is now. A file that can't be decoded keeps its content."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for data in b["content"].to_pylist():
+                try:
+                    turned = [np.ascontiguousarray(UPRIGHT[metadata.orientation(data)](a)) for a in codecs.decode(data)]
+                except codecs.CodecError:
+                    out.append(data)
+                    continue
+                exif = metadata.segments(data).get("exif")
+                done = codecs.ENCODERS[fmt](turned, **options)
+                out.append(metadata.with_exif(done, metadata.synchronised(exif, turned[0].shape[1], turned[0].shape[0])) if exif and fmt in ("png", "jpeg") else done)
+            yield pa.RecordBatch.from_arrays([b["image_id"], pa.array(out, pa.binary())], ["image_id", "content"])
+
+    return files.select("image_id", "content").mapInArrow(run, "image_id long, content binary")
+
+
+def set_exif(files: DataFrame, tags: Column) -> DataFrame:
+    """(image_id, content): each PNG or JPEG with EXIF of these tags, an array of (directory, tag, type, value) with whole numbers as values."""
+
+    def run(batches):
+        for b in batches:
+            done = [metadata.with_exif(data, metadata.exif_bytes([(t["directory"], t["tag"], t["type"], t["value"]) for t in found])) for data, found in zip(b["content"].to_pylist(), b["tags"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b["image_id"], pa.array(done, pa.binary())], ["image_id", "content"])
+
+    kind = "array<struct<directory:string,tag:int,type:int,value:int>>"
+    return files.select("image_id", "content", tags.cast(kind).alias("tags")).mapInArrow(run, "image_id long, content binary")
+
+
 def decode(files: DataFrame, max_frames: int | None = None, target: tuple[int, int] | None = None) -> DataFrame:
     """Frames of a DataFrame with image_id and content. What can't be decoded gives a row without pixels whose dtype says why."""
 

@@ -132,6 +132,53 @@ def exif_bytes(tags: list[tuple[str, int, int, object]]) -> bytes:
     return bytes(out)
 
 
+PIXEL_SIZE = (0xA002, 0xA003)
+
+
+def orientation(data: bytes | None) -> int:
+    """The EXIF orientation of a file, 1 where it has none or it can't be read."""
+    try:
+        found = segments(data).get("exif") if data else None
+        tags = {(d, t): v for d, t, _, v in exif_tags(found)} if found else {}
+    except (struct.error, IndexError, KeyError, ValueError, zlib.error):
+        return 1
+    v = tags.get(("image", ORIENTATION), 1)
+    return v if v in range(1, 9) else 1
+
+
+def synchronised(exif: bytes, width: int, height: int) -> bytes:
+    """EXIF of an image that stands upright and has this size: orientation 1, and the size where it is noted; the thumbnail isn't kept."""
+    kept = []
+    for d, t, k, v in exif_tags(exif):
+        if d in ("image", "exif", "gps"):
+            kept.append((d, t, k, 1 if (d, t) == ("image", ORIENTATION) else dict(zip(PIXEL_SIZE, (width, height))).get(t, v) if d == "exif" else v))
+    return exif_bytes(kept)
+
+
+def with_exif(data: bytes, exif: bytes) -> bytes:
+    """A PNG or JPEG file with this EXIF and no other."""
+    kind = detect(data)
+    if kind == "png":
+        out, at = [data[:8]], 8
+        while at + 12 <= len(data):
+            size, name = struct.unpack_from(">I4s", data, at)
+            if name != b"eXIf":
+                out.append(data[at : at + 12 + size])
+            if name == b"IHDR":
+                out.append(struct.pack(">I", len(exif)) + b"eXIf" + exif + struct.pack(">I", zlib.crc32(b"eXIf" + exif)))
+            at += 12 + size
+        return b"".join(out)
+    if kind == "jpeg":
+        out, at = [data[:2], struct.pack(">HH", 0xFFE1, len(exif) + 8) + b"Exif\0\0" + exif], 2
+        while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
+            size = struct.unpack_from(">H", data, at + 2)[0]
+            if data[at + 1 : at + 2] + data[at + 4 : at + 10] != b"\xe1Exif\0\0":
+                out.append(data[at : at + 2 + size])
+            at += 2 + size
+        return b"".join([*out, data[at:]])
+    raise ValueError(f"no place for EXIF in {kind or 'this file'}")
+
+
 def iptc_values(data: bytes) -> list[tuple[int, int, bytes]]:
     """(record, number, value)"""
     out, at = [], 0
