@@ -5,9 +5,12 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +21,11 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
+    """A new path in the folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset and Spark runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pixelquarry-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -40,9 +45,93 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs, stored, with a column __row of numbers that are distinct and stay the same."""
-    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs, stored, with a column of that name of numbers that are distinct and stay the same."""
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
+def row_keys(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column of that name of numbers that are distinct and stay the same: doc_id where it is whole, never null and distinct; else docs are numbered and stored."""
+    whole = docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    if whole and docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
+    return numbered(docs, name)
+
+
+#: Bits of the bitmaps that marked() makes, in chunks; more ids than that cost passes for nothing, not rows.
+MARKS, MARK_CHUNK = 1 << 24, 1 << 20
+
+
+def marked(ids: DataFrame, hashed: bool = False) -> Broadcast:
+    """A bitmap of MARKS bits, set at the hashes (xxhash64) of all rows of ids, or at its numbers if they are hashes themselves; 2 MB at any number of them."""
+    names = ["chunk", "bits"]
+
+    def mark(batches):
+        bits, used = np.zeros(MARKS, bool), False
+        for b in batches:
+            used = used or b.num_rows > 0
+            bits[b["mark"].to_numpy() & (MARKS - 1)] = True
+        for k in range(MARKS // MARK_CHUNK if used else 0):
+            part = bits[k * MARK_CHUNK : (k + 1) * MARK_CHUNK]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(np.packbits(part, bitorder="little").tobytes(), 1)], pa.binary())], names)
+
+    def either(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, c in zip(b["chunk"].to_pylist(), b["bits"].to_pylist(), strict=True):
+                bits = np.frombuffer(zlib.decompress(c), np.uint8)
+                held[k] = held[k] | bits if k in held else bits
+        for k, bits in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names)
+
+    out = np.zeros(MARKS // 8, np.uint8)
+    ddl = "chunk int, bits binary"
+    mark_of = F.col(ids.columns[0]) if hashed else F.xxhash64(*ids.columns)
+    for r in ids.select(mark_of.alias("mark")).mapInArrow(mark, ddl).repartition(MARKS // MARK_CHUNK, "chunk").mapInArrow(either, ddl).collect():  # MARKS bits at most
+        out[r["chunk"] * (MARK_CHUNK // 8) : (r["chunk"] + 1) * (MARK_CHUNK // 8)] = np.frombuffer(r["bits"], np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(out)
+
+
+def hits(marks: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = marks & (MARKS - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def picked(batches, bits: Broadcast):
+    """The rows of record batches whose hash in __mark is in the bitmap, and a few more; without that column."""
+    for b in batches:
+        yield b.filter(pa.array(hits(b["__mark"].to_numpy(), bits.value))).select([c for c in b.schema.names if c != "__mark"])
+
+
+def parted(docs: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be in ids, rows whose key isn't), by a bitmap of ids, which has one column; docs aren't shuffled."""
+    bits, name = marked(ids), fresh(docs, "__hit")[0]
+
+    @F.pandas_udf("boolean")
+    def hit(marks):
+        import pandas as pd
+
+        return pd.Series(hits(marks.to_numpy(), bits.value))
+
+    asked = docs.withColumn(name, hit(F.xxhash64(key)))
+    return asked.filter(F.col(name)).drop(name), asked.filter(~F.col(name)).drop(name)
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, key: str = "__row") -> DataFrame:
+    """docs without the rows whose key is in gone (one column). Only rows that the bitmap of gone picks are shuffled."""
+    maybe, kept = parted(docs, key, gone)
+    return kept.unionByName(maybe.join(gone.select(F.col(gone.columns[0]).alias(key)), key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns)))
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with so many underscores added that docs has no such column."""
+    held, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def discard(*dfs: DataFrame) -> None:
@@ -110,7 +199,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier and of its inverse, n or more of them."""
     if len(_POWERS["up"]) < n:
         size = 1 << (n - 1).bit_length()
@@ -126,7 +215,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     edges = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[b], [True]))))
     starts, ends = edges[::2], edges[1::2]
-    up, down = _powers(len(b))
+    up, down = powers(len(b))
     total = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(_BY_BYTE[b] * up[: len(b)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))

@@ -3,21 +3,33 @@
 A document is the set of its distinct five-word shingles (tokens). Documents of
 equal sets are one class, and only classes are joined. Two sets with a Jaccard
 similarity of t or more share a token among the first n - ceil(t * n) + 1 tokens
-of each, under any order of all tokens. Several orders are used, each rare
-tokens first (frequencies come from a counting sketch of fixed size, filled from
-all documents; ties fall by a hash of that order's own): candidates come from
-the prefixes under the first order, and must share prefix tokens under the other
-orders as well before their sets are fetched and counted exactly. Where the
-first shared token stands in both sets bounds what they can share (the tokens
-after it), so a pair is taken up only at a token whose places leave enough; in
-particular the smaller set has it in the first ninth or so of its tokens.
-
-What is asked for is every document's component. So inside a group that shares a
-prefix token not all pairs are made: first each member is compared with one
-pivot of the group, and what is linked is contracted. Only pairs of members that
-are still in different components are then enumerated, by more pivots while
-there are many, and all of them in the end. No link between different components
-can be missed that way, and copies or near copies in thousands cost a row each.
+of each, under any order of all tokens, and SHARED tokens (or all that they must
+share, if those are fewer) among the first n - ceil(t * n) + SHARED. Three orders are used, each rare tokens
+first (frequencies come from a counting sketch of fixed size, filled from all
+documents; ties fall by a hash of that order's own). A pair is a candidate only
+if it meets, in one plan and before any pair is stored, all of these:
+
+* SHARED common tokens in the prefixes under the first order, at places that
+  leave enough tokens to share, the sizes allowing the similarity (one common token
+  is enough where some of them may be in crowded groups, see below);
+* a common token in the prefixes under the second order, and under the third;
+* bitmaps (each token flips one of BITS bits) that differ in no more bits than
+  two such sets can differ in tokens.
+
+None of these filters loses a link. What passes is counted exactly.
+
+What is asked for is every document's component. In the order of sizes, the sets
+that a set may be similar to stand beside it. In a group that shares a prefix
+token, where no set has more than FEW such partners before it, they are all met.
+Other groups are crowded, and there not all pairs are made: each set meets the
+group's pivot; of the pivots that it meets most often the nearest by bitmap is
+counted, and what is linked is contracted. Then only sets outside of a group's
+largest component meet the others: by further pivots while there are many, and
+all of them in the end. No link between different components can be missed that
+way, and copies or near copies in thousands cost a row each.
+
+Rows of a frequent token are dealt to several tasks by a salt, whose number
+follows the token's frequency; each salt has its own pivot.
 
 Defined results: words are split at white space, A-Z lower-cased; with fewer
 than five words, all of them are one token; a null text or one without words has
@@ -31,23 +43,32 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, materialize, mix, numbered, shingle_set, sliced, table, tidy
+from .common import discard, fresh, marked, materialize, mix, picked, row_keys, shingle_set, sliced, table, tidy, without_rows
 from .components import components
 
 QUERY = "op5_multi_order_jaccard"
 #: Similarity in hundredths, so that the comparison is exact.
 PERCENT = 80
-#: Cells of the frequency sketch, and of the bitmap by which texts are picked.
-CELLS, PICKED_BITS = 1 << 21, 1 << 24
-CHUNK = 1 << 15
-#: Orders beside the first, and their hashes' salts.
+#: Common tokens under the first order.
+SHARED = 3
+#: Cells of the frequency sketch, in chunks.
+CELLS, CHUNK = 1 << 21, 1 << 15
+#: Orders beside the first, by their hashes' salts.
 ORDERS = (np.uint64(0xA5A5A5A5), np.uint64(0x5EED5EED))
-#: While more candidate pairs than this for each row of the index are left, pivots go on, as long as each round leaves at most this share of them.
-PAIRS_A_ROW, PIVOTS_LEAVE = 0.5, 0.6
+#: Bits of a set's bitmap.
+BITS = 1024
+#: A token met about 2^HOT times or more is salted, if that is well above what other tokens add to its cell.
+HOT = 12
+#: Partners before a set that are met one by one; pivots of a set whose bitmaps are compared; pivots of a group that those outside of its largest component meet in a round.
+FEW, PIVOTS, SPREAD = 8, 6, 16
+#: Sets whose copies one task leaves out.
+SEEN = 200_000
+#: While more pairs than this for each row of the index are left, pivots go on, as long as each round leaves at most this share of them.
+PAIRS_A_ROW, PIVOTS_LEAVE = 0.5, 0.9
 
 
 def prefix_length(n, percent: int = PERCENT):
@@ -63,9 +84,15 @@ def frequency_class(tokens: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     return sketch[(tokens & np.uint64(CELLS - 1)).astype(np.int64)]
 
 
-def digest(tokens: np.ndarray) -> int:
-    """Signed 64-bit name of a set; 0 only for the empty one."""
-    return 0 if not len(tokens) else int(np.array([xxhash.xxh3_64_intdigest(tokens.tobytes()) | 1], np.uint64).view(np.int64)[0])
+def digest(tokens: np.ndarray) -> bytes:
+    """128-bit name of a set; empty only for the empty one."""
+    return xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else b""
+
+
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """A set's bits: which of BITS buckets hold an odd number of tokens, as 64-bit numbers. Two sets differ in at least as many tokens as bits."""
+    odd = np.bincount((mix(tokens ^ np.uint64(0xB17)) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def _sets(batch):
@@ -74,10 +101,12 @@ def _sets(batch):
 
 
 def _pass_one(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: of each document (doc_id, n, cid); of each task's sketch, chunk by chunk, the counts (cell0, counts)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+    """Rows of two kinds: of each document (doc_id, n, cid); of each task's sketch, chunk by chunk, the counts (chunk, counts)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
+        import zlib
+
         sketch = np.zeros(CELLS, np.uint32)
         used = False
         for b in sliced(batches):
@@ -86,19 +115,17 @@ def _pass_one(docs: DataFrame) -> DataFrame:
                 rows.append((doc_id, len(s), digest(s)))
                 np.add.at(sketch, (s & np.uint64(CELLS - 1)).astype(np.int64), 1)
             used = used or bool(rows)
-            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], schema=schema)
         if used:
-            import zlib
-
-            full = [(k, zlib.compress(sketch[k * CHUNK : (k + 1) * CHUNK].astype("<u4").tobytes(), 1)) for k in range(CELLS // CHUNK)]
+            full = [(k, zlib.compress(sketch[k * CHUNK : (k + 1) * CHUNK].astype("<i8").tobytes(), 1)) for k in range(CELLS // CHUNK)]
             none = pa.nulls(len(full), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array([k for k, _ in full], pa.int32()), pa.array([c for _, c in full], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(full), pa.binary()), pa.array([k for k, _ in full], pa.int32()), pa.array([c for _, c in full], pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n long, cid long, chunk int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n long, cid binary, chunk int, counts binary")
 
 
 def _sketch(found: DataFrame) -> np.ndarray:
-    """Frequency classes (the counts' binary orders) of all cells, added up by chunk."""
+    """Frequency classes (the counts' binary orders) of all cells, added up by chunk, in two steps so that no task gets the sketches of all."""
 
     def add(batches):
         import zlib
@@ -106,97 +133,152 @@ def _sketch(found: DataFrame) -> np.ndarray:
         held: dict[int, np.ndarray] = {}
         for b in batches:
             for k, c in zip(b["chunk"].to_pylist(), b["counts"].to_pylist(), strict=True):
-                counts = np.frombuffer(zlib.decompress(c), "<u4").astype(np.int64)
+                counts = np.frombuffer(zlib.decompress(c), "<i8")
                 held[k] = held[k] + counts if k in held else counts
         for k, counts in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.ceil(np.log2(counts + 1)).astype(np.uint8).tobytes()], pa.binary())], ["chunk", "classes"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], ["chunk", "counts"])
 
-    parts = found.filter("chunk IS NOT NULL").select("chunk", "counts")
-    rows = parts.repartition(CELLS // CHUNK, "chunk").mapInArrow(add, "chunk int, classes binary").collect()  # CELLS bytes at most
+    parts = found.filter("chunk IS NOT NULL").select("chunk", "counts", F.pmod(F.spark_partition_id(), F.lit(64)).alias("group"))
+    some = parts.repartition("chunk", "group").select("chunk", "counts").mapInArrow(add, "chunk int, counts binary")
+    rows = some.repartition("chunk").mapInArrow(add, "chunk int, counts binary").toLocalIterator()  # CELLS numbers
     out = np.zeros(CELLS, np.uint8)
+    import zlib
+
     for r in rows:
-        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["classes"], np.uint8)
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.ceil(np.log2(np.frombuffer(zlib.decompress(r["counts"]), "<i8") + 1)).astype(np.uint8)
     return out
 
 
 def _index(docs: DataFrame, shared, percent: int) -> DataFrame:
-    """(token, cid, n, pos): the prefix of every document under the first order, and each token's place in it."""
+    """(key, token, cid, at): the prefix of every set under the first order; at is the set's size and the token's place in it.
+
+    key deals the rows out: the token's own number, or one of several for a frequent token, whose number then stands in token.
+    """
 
     def run(batches):
+        seen: set[bytes] = set()
+        hot = max(HOT, int(np.median(shared.value)) + 3)
         for b in sliced(batches):
-            tokens, cids, ns, at = [], [], [], []
+            keys, tokens, cids, at = [], [], [], []
             for _, s in _sets(b):
-                if len(s):
-                    p = prefix_length(len(s), percent)
-                    tokens.append(rarest_first(s, frequency_class(s, shared.value))[:p])
-                    cids.append(np.full(p, digest(s)))
-                    ns.append(np.full(p, len(s), np.int32))
-                    at.append(np.arange(p, dtype=np.int32))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(cids)), pa.array(np.concatenate(ns), pa.int32()), pa.array(np.concatenate(at), pa.int32())], ["token", "cid", "n", "pos"])
+                name = digest(s)
+                if not name or name in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(name)
+                p = min(len(s), prefix_length(len(s), percent) + SHARED - 1)
+                prefix = rarest_first(s, frequency_class(s, shared.value))[:p]
+                parts = np.left_shift(np.uint64(1), np.maximum(frequency_class(prefix, shared.value).astype(np.int64) - hot, 0).astype(np.uint64))
+                salt = np.uint64(int.from_bytes(name[:4], "little")) % parts
+                keys.append(np.where(parts > 1, mix(prefix + (salt + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), prefix))
+                tokens.append(np.where(parts > 1, prefix, np.uint64(0)))
+                cids += [name] * p
+                at.append((np.int64(len(s)) << 32) + np.arange(p))
+            if keys:
+                token = np.concatenate(tokens)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(token.view(np.int64), mask=token == 0), pa.array(cids, pa.binary()), pa.array(np.concatenate(at))], ["key", "token", "cid", "at"])
+
+    return docs.mapInArrow(run, "key long, token long, cid binary, at long")
+
 
-    return docs.mapInArrow(run, "token long, cid long, n int, pos int")
+def _size(at) -> Column:
+    return F.shiftright(at, 32)
 
 
-def _picked(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size of the doc_ids' hashes."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(PICKED_BITS))
-    rows = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 31))")).alias("bits")).toPandas()  # PICKED_BITS / 32 rows at most
-    out = np.zeros(PICKED_BITS // 32, np.uint32)
-    out[rows["word"]] = rows["bits"].to_numpy(np.uint32)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+def _place(at) -> Column:
+    return F.col(at).bitwiseAND(0xFFFFFFFF) if isinstance(at, str) else at.bitwiseAND(0xFFFFFFFF)
+
+
+def _sizes_allow(a: Column, b: Column, percent: int) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _near(a: Column, b: Column, percent: int) -> Column:
+    """Whether two sets can be similar that share, as one of their first SHARED common tokens, the ones at these places."""
+    n_a, n_b = _size(a), _size(b)
+    most = F.least(n_a - _place(a), n_b - _place(b)) + (SHARED - 1)
+    return _sizes_allow(n_a, n_b, percent) & ((100 + percent) * most >= percent * (n_a + n_b))
+
+
+def _late(at, percent: int) -> Column:
+    """Whether the token stands too late in its set for sets as large or larger to be similar: a pivot of little use."""
+    return (100 + percent) * (_size(at) - _place(at) + (SHARED - 1)) < 2 * percent * _size(at)
+
+
+def _groups(rows: DataFrame, percent: int) -> DataFrame:
+    """(token, cid, at, partners, pivot) of sets that may be similar to another one of their group: partners are the smaller sets that it may be similar to; in crowded groups there are none, but a pivot (cid, at)."""
+    one_each = rows.repartition("key").groupBy("key", "cid").agg(F.first("token").alias("token"), F.first("at").alias("at"))
+    group, by_size = Window.partitionBy("key"), Window.partitionBy("key").orderBy("at", "cid")
+    seen = one_each.withColumn("size", F.count("*").over(group)).filter("size > 1 OR token IS NOT NULL")
+    before, beyond = F.collect_list(F.struct("cid", "at")).over(by_size.rowsBetween(-FEW, -1)), F.lag("at", FEW + 1).over(by_size)
+    crowded = F.col("token").isNotNull() | (beyond.isNotNull() & _sizes_allow(_size("at"), _size(beyond), percent))
+    pivot = F.min(F.struct(_late("at", percent).alias("late"), F.xxhash64("cid").alias("prio"), "cid", "at")).over(group)
+    seen = seen.withColumns({"before": before, "crowded": crowded}).withColumns({"crowded": F.max("crowded").over(group), "pivot": pivot})
+    partners = F.transform(F.filter("before", lambda x: _near(F.col("at"), x["at"], percent)), lambda x: x["cid"])
+    seen = seen.withColumns({"partners": F.when(~F.col("crowded"), partners), "pivot": F.when(F.col("crowded"), F.struct("pivot.cid", "pivot.at"))})
+    return seen.filter("crowded OR size(partners) > 0").select(F.coalesce("token", "key").alias("token"), "cid", "at", "partners", "pivot")
 
 
 def _texts_to_sets(docs: DataFrame, ids: DataFrame, shared, percent: int) -> DataFrame:
-    """(cid, n, tokens, p0, p1...) of the documents picked by ids (and of a few more): sets, and 32-bit prefixes under the other orders."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(_picked(ids))
+    """(cid, n, bits, p0, p1..., tokens) of the documents picked by ids (and of a few more): bitmaps, 32-bit prefixes under the other orders, sets."""
+    bits = marked(ids.select("doc_id"))
     extra = [f"p{k}" for k in range(len(ORDERS))]
 
     def run(batches):
-        for b in sliced(batches):
-            keep = bitmap.value[b["bit"].to_numpy()]
-            b = b.filter(pa.array(keep))
+        for b in sliced(picked(batches, bits)):
             rows = []
             for _, s in _sets(b):
                 if len(s):
                     p, f = prefix_length(len(s), percent), frequency_class(s, shared.value)
-                    rows.append((digest(s), len(s), s.view(np.int64), *((rarest_first(s, f, o)[:p] >> np.uint64(32)).astype(np.uint32).view(np.int32) for o in ORDERS)))
+                    rows.append((digest(s), len(s), bitmap(s), *((rarest_first(s, f, o)[:p] >> np.uint64(32)).astype(np.uint32).view(np.int32) for o in ORDERS), s.view(np.int64)))
             if rows:
                 cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.int64())), *(pa.array(c, pa.list_(pa.int32())) for c in cols[3:])], ["cid", "n", "tokens", *extra])
+                types = [pa.binary(), pa.int64(), pa.list_(pa.int64()), *(pa.list_(pa.int32()) for _ in extra), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["cid", "n", "bits", *extra, "tokens"])
 
-    picked = docs.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(PICKED_BITS)))
-    return picked.mapInArrow(run, "cid long, n int, tokens array<long>" + "".join(f", {c} array<int>" for c in extra))
+    return docs.withColumn("__mark", F.xxhash64("doc_id")).mapInArrow(run, "cid binary, n long, bits array<long>" + "".join(f", {c} array<int>" for c in extra) + ", tokens array<long>")
 
 
-def _near(a: str, b: str, percent: int):
-    """Whether two sets can be similar that share, as their first common token, the ones at these rows' places."""
-    n_a, n_b, pos_a, pos_b = (F.col(f"{c}{s}") for c in ("n", "pos") for s in (a, b))
-    most = F.least(n_a - pos_a, n_b - pos_b)
-    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & ((100 + percent) * most >= percent * (n_a + n_b))
+def _side(sets: DataFrame, side: str, columns: list[str]) -> DataFrame:
+    return sets.select(F.col("cid").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns))
 
 
-def _size_class(n, percent: int = PERCENT):
-    """Sets whose sizes allow similarity are in the same class or in neighbouring ones."""
-    return F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / percent + 1e-7))).cast("int")
+def _by_bits(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those whose bitmaps allow the similarity: (a, b, apart), apart being the bits in which they differ."""
+    met = pairs.join(_side(sets, "a", ["n", "bits"]), "a").join(_side(sets, "b", ["n", "bits"]), "b")
+    apart = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    # |A| + |B| - 2 * shared >= apart, and (100 + percent) * shared >= percent * (|A| + |B|)
+    return met.withColumn("apart", apart).filter((100 + percent) * F.col("apart") <= (100 - percent) * (F.col("a_n") + F.col("b_n"))).select("a", "b", "apart")
 
 
-def _side(sets: DataFrame, pairs: DataFrame, side: str, columns: list[str]) -> DataFrame:
-    """The sets that stand on one side of the pairs; the join that follows has the same key, so this costs no further shuffle of sets."""
-    there = pairs.select(F.col(side).alias("cid")).distinct()
-    return sets.select("cid", *columns).join(there, "cid", "left_semi").select(F.col("cid").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns))
+def _by_orders(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), those that share a token in the prefixes under each of the other orders."""
+    columns = [f"p{k}" for k in range(len(ORDERS))]
+    met = pairs.join(_side(sets, "a", columns), "a").join(_side(sets, "b", columns), "b")
+    for c in columns:
+        met = met.filter(F.arrays_overlap(f"a_{c}", f"b_{c}"))
+    return met.select(*pairs.columns)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those that pass the filters under the other orders and then the exact count."""
-    orders = [f"p{k}" for k in range(len(ORDERS))]
-    pairs = materialize(pairs, "pairs")
-    near = pairs.join(_side(sets, pairs, "a", orders), "a").join(_side(sets, pairs, "b", orders), "b")
-    for c in orders:
-        near = near.filter(F.arrays_overlap(f"a_{c}", f"b_{c}"))
+def _candidates(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that pass all filters: (a, b, apart)."""
+    return _by_orders(_by_bits(pairs, sets, percent), sets)
+
+
+def _verified(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of near whose sets are similar, counted exactly; stored."""
     near = materialize(near.select("a", "b").distinct(), "near")
-    discard(pairs)
-    whole = near.join(_side(sets, near, "a", ["n", "tokens"]), "a").join(_side(sets, near, "b", ["n", "tokens"]), "b")
+    tidy(near.sparkSession)
+    bits = marked(near.select("a").union(near.select("b")))
+
+    def needed(batches):
+        for b in picked(batches, bits):
+            if b.num_rows:
+                yield b
+
+    some = sets.select("cid", "n", "tokens", F.xxhash64("cid").alias("__mark")).mapInArrow(needed, "cid binary, n long, tokens array<long>")
+    whole = near.join(_side(some, "a", ["n", "tokens"]), "a").join(_side(some, "b", ["n", "tokens"]), "b")
     both = F.size(F.array_intersect("a_tokens", "b_tokens"))
     links = materialize(whole.filter(100 * both >= percent * (F.col("a_n") + F.col("b_n") - both)).select("a", "b").distinct(), "links")
     del whole, both
@@ -204,6 +286,18 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return links
 
 
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Of each a, the pair that differs in the fewest bits."""
+    return pairs.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+
+
+def _most_met(pairs: DataFrame) -> DataFrame:
+    """Of each a, the PIVOTS most frequent b, as distinct pairs."""
+    times = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+    most = times.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "b")), False), 1, PIVOTS).alias("m"))  # one for each token of a prefix at most
+    return most.select("a", F.explode("m.b").alias("b"))
+
+
 def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(documents, labels): (doc_id, n, cid) of every document, and (node, label) of the classes with links to others."""
     spark = docs.sparkSession
@@ -213,48 +307,70 @@ def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFram
     shared = spark.sparkContext.broadcast(_sketch(found))
     names = documents.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
 
-    group = Window.partitionBy("token")
-    one_each = _index(docs, shared, percent).repartition("token").groupBy("token", "cid").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
-    grouped = one_each.withColumn("size", F.count("*").over(group)).withColumn("pivot", F.min(F.struct(F.xxhash64("cid").alias("prio"), "cid", "n", "pos")).over(group)).filter("size > 1")
-    index = materialize(grouped.select("token", "cid", "n", "pos", F.col("pivot.cid").alias("pivot"), F.col("pivot.n").alias("n_p"), F.col("pivot.pos").alias("pos_p")), "index")
-
-    del one_each, grouped
+    index = materialize(_groups(_index(docs, shared, percent), percent), "index")
+    tidy(spark)
+    crowd = index.filter("pivot IS NOT NULL").select("token", "cid", "at", "pivot")
+    crowded = materialize(crowd.select("cid").distinct(), "crowded")
+    # with fewer tokens in common than SHARED, what they must share being more, the rest would have to be in crowded groups
+    met = index.filter("pivot IS NULL").select("cid", _size("at").alias("n"), F.explode("partners").alias("partner"))
+    met = met.groupBy(F.greatest("cid", "partner").alias("a"), F.least("cid", "partner").alias("b")).agg(F.count("*").alias("k"), F.max("n").alias("n"))
+    must = F.ceil(F.lit(percent) * F.col("n") / 100)  # of the larger set's tokens
+    short = met.filter(F.col("k") < F.least(F.lit(SHARED), must)).join(crowded.select(F.col("cid").alias("a")), "a", "left_semi")
+    pairs = materialize(met.filter(F.col("k") >= F.least(F.lit(SHARED), must)).unionByName(short).select("a", "b"), "pairs")
     tidy(spark)
-    ids = index.select("cid").distinct().join(names, "cid").select("doc_id")
-    sets = materialize(_texts_to_sets(docs, ids, shared, percent), "tokens")
+    members = crowded.union(pairs.select("a")).union(pairs.select("b")).distinct()
+    sets = materialize(_texts_to_sets(docs, members.join(names, "cid"), shared, percent), "tokens")
+    few = materialize(sets.drop("tokens").join(crowded, "cid", "left_semi"), "crowd-sets")
 
-    stars = index.filter((F.col("cid") != F.col("pivot")) & _near("", "_p", percent)).groupBy("cid", "pivot").count()
-    links = _verify(stars.groupBy("cid").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("b")).select(F.col("cid").alias("a"), "b"), sets, percent)
-    n_index, seed, before = index.count(), 0, float("inf")
+    near = materialize(_candidates(pairs, sets, percent), "near-pairs")
+    discard(pairs)
+    stars = crowd.filter(_near(F.col("at"), F.col("pivot.at"), percent) & (F.col("cid") != F.col("pivot.cid"))).select(F.col("cid").alias("a"), F.col("pivot.cid").alias("b"))
+    starred = _by_orders(_by_bits(_most_met(stars), few, percent), few)
+    links = _verified(_nearest(near.unionByName(starred)), sets, percent)
+    n_crowd, seed, before = crowd.count(), 0, float("inf")
+    labels = materialize(components(links, "a", "b"), "labels")
     while True:
-        labels = materialize(components(links, "a", "b"), "labels")
-        tagged = index.select("token", "cid", "n", "pos").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        mixed = tagged.groupBy("token", "label").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2")).filter("k * k > k2")
+        tagged = crowd.select("token", "cid", "at").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        per = tagged.groupBy("token", "label").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("k"), F.max(F.struct("k", "label")).alias("m"))
+        mixed = per.filter("k > m.k").select("token", F.col("m.label").alias("major"), (F.col("k") * (F.col("k") - F.col("m.k"))).cast("double").alias("pairs"))
         rest = materialize(tagged.join(mixed, "token"), "rest")
-        pairs_left = rest.select("token", "k", "k2").distinct().agg(F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("k2")) / 2), F.lit(0.0))).first()[0]
-        if not pairs_left:
-            discard(index, sets, rest)
-            return documents, labels
+        left = rest.groupBy("token").agg(F.first("pairs").alias("pairs")).agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
         seed += 1
-        many = pairs_left > PAIRS_A_ROW * n_index + 100_000 and pairs_left <= PIVOTS_LEAVE * before
-        before = pairs_left
+        many = left > PAIRS_A_ROW * n_crowd + 10_000 and left <= PIVOTS_LEAVE * before
+        before = left
+        minor = rest.filter("label <> major").select("token", F.col("cid").alias("a"), F.col("at").alias("at_a"), F.col("label").alias("label_a"))
         if many:
-            pivot = rest.groupBy("token").agg(F.min(F.struct(F.xxhash64("cid", F.lit(seed)).alias("prio"), F.col("cid").alias("pivot"), F.col("n").alias("n_p"), F.col("pos").alias("pos_p"), F.col("label").alias("label_p"))).alias("p")).select("token", "p.pivot", "p.n_p", "p.pos_p", "p.label_p")
-            pairs = rest.join(pivot, "token").filter((F.col("label") != F.col("label_p")) & _near("", "_p", percent)).select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct()
+            random = F.struct(_late("at", percent).alias("late"), F.xxhash64("cid", "token", F.lit(seed)).alias("prio"), F.col("cid").alias("b"), F.col("at").alias("at_b"))
+            some = rest.filter("label = major").groupBy(F.col("token").alias("token_b"), F.pmod(F.xxhash64("cid", F.lit(seed)), F.lit(SPREAD)).alias("part")).agg(F.min(random).alias("p")).select("token_b", "p.b", "p.at_b")
+            met = minor.join(some, (F.col("token") == F.col("token_b")) & _near(F.col("at_a"), F.col("at_b"), percent)).select("a", "b").distinct()
+            new = _by_orders(_nearest(_by_bits(met, few, percent)), few)
         else:
-            side = lambda s: rest.select("token", F.col("cid").alias(f"cid{s}"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"pos{s}"), F.col("label").alias(f"label{s}"))
-            # the smaller set's token is among its first, else too little is left: _near() with sizes that are equal
-            small = side("_a").filter((100 + percent) * (F.col("n_a") - F.col("pos_a")) >= 2 * percent * F.col("n_a")).withColumn("size", _size_class(F.col("n_a"), percent))
-            large = side("_b").withColumn("size", F.explode(F.array(_size_class(F.col("n_b"), percent), _size_class(F.col("n_b"), percent) - 1)))
-            order = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("cid_a") < F.col("cid_b")))
-            met = (small["token"] == large["token"]) & (small["size"] == large["size"]) & order & (F.col("label_a") != F.col("label_b")) & _near("_a", "_b", percent)
-            pairs = small.join(large, met).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct()
-        new = _verify(pairs, sets, percent)
-        links = links.unionByName(new)
+            other = rest.select(F.col("token").alias("token_b"), F.col("cid").alias("b"), F.col("at").alias("at_b"), F.col("label").alias("label_b"), (F.col("label") == F.col("major")).alias("of_major"))
+            once = F.col("of_major") | (F.col("a") < F.col("b"))
+            met = minor.join(other, (F.col("token") == F.col("token_b")) & (F.col("label_a") != F.col("label_b")) & once & _near(F.col("at_a"), F.col("at_b"), percent))
+            new = _candidates(met.select("a", "b").distinct(), few, percent).select("a", "b")
+        if seed == 1:  # pairs of other groups that aren't in one component yet
+            new = new.unionByName(_labelled(near, labels).filter("label_a <> label_b").select("a", "b"))
+        labels = materialize(_relabelled(labels, _verified(new, sets, percent)), "labels")
         discard(rest)
         if not many:
-            discard(index, sets)
-            return documents, materialize(components(links, "a", "b"), "labels")
+            discard(index, sets, near, few, crowded)
+            return documents, labels
+
+
+def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) with label_a and label_b; a class without a label is its own."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    found = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return found.withColumns({f"label_{c}": F.coalesce(f"label_{c}", c) for c in "ab"})
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels of the components with these links as well: those of the graph of labels, which has only the new links between different ones."""
+    ends = materialize(_labelled(links, labels), "ends")
+    moves = components(ends, "label_a", "label_b").select(F.col("node").alias("label"), F.col("label").alias("to"))
+    nodes = labels.unionByName(ends.select(F.col("a").alias("node"), F.col("label_a").alias("label"))).unionByName(ends.select(F.col("b").alias("node"), F.col("label_b").alias("label"))).distinct()
+    return nodes.join(moves, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
 
 
 def component_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -269,13 +385,13 @@ def component_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each component, that with the least doc_id, one without doc_id only where none has any; rows without words all stay. Columns as they were."""
-    # rows are told apart by a number, as doc_ids may repeat or be null
-    kept = numbered(docs)
-    parts = materialize(component_of(kept.select(F.col("__row").alias("doc_id"), "text"), percent).filter("n_shingles > 0").select(F.col("doc_id").alias("__row"), "component_id"), "parts")
-    ids = kept.select("__row", F.col("doc_id").cast("long").alias("doc_id"))
-    first = parts.join(ids, "__row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first"))
-    gone = parts.select("__row").join(first.select("first.__row"), "__row", "left_anti")
-    return kept.join(gone, "__row", "left_anti").select(*docs.columns)
+    row = fresh(docs, "__row")[0]
+    kept = row_keys(docs, row)  # rows are told apart by a key, as doc_ids may repeat or be null
+    parts = materialize(component_of(kept.select(F.col(row).alias("doc_id"), "text"), percent).filter("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id"), "parts")
+    ids = kept.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    first = parts.join(ids, "row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    gone = materialize(parts.select("row").join(first.select("first.row"), "row", "left_anti"), "gone")
+    return without_rows(kept, gone, row).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
