@@ -30,37 +30,6 @@ def test_rules_and_parts(spark):
     ]
 
 
-def test_models_part_rejected_from_accepted(spark):
-    good = [f"http://{a}{b}.example.org/fr/{i}" for i, (a, b) in enumerate((x, y) for x in ("mill", "corn", "river", "stone", "book") for y in ("er", "land", "side", "shop", "club"))] * 8
-    bad = [f"http://{a}-{b}.example.org/fr/{i}" for i, (a, b) in enumerate([("cheap", "pills"), ("casino", "win"), ("spam", "farm"), ("free", "bets")])] * 5
-    pages = spark.createDataFrame([(i, u, 1.0) for i, u in enumerate([*good, *bad, None, ""])], "page_id long, url string, text double")
-    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages).collect()}
-    n = len(good)
-    assert sum(got[i] == "block" for i in range(n)) <= n // 50
-    assert all(got[i] == "block" for i in range(n, n + len(bad)))
-    assert got[n + len(bad)] == got[n + len(bad) + 1] == "allow"
-    assert url_filter.judge(pages.limit(0)).count() == 0
-
-
-def test_models_rate_unseen_urls():
-    good = [f"{a}{b}.example.org/fr/{i}" for i, (a, b) in enumerate((x, y) for x in ("mill", "corn", "river", "stone", "book") for y in ("er", "land", "side", "shop", "club"))]
-    counts = np.zeros((2, url_filter.BUCKETS), np.int64)
-    url_filter.count(good, counts, np.zeros(len(good), np.int64))
-    seeds = url_filter.made_up()
-    url_filter.count(seeds, counts, np.ones(len(seeds), np.int64))
-    bad, fine, none = url_filter.log_ratio(["casin0-wins.example.org/fr/3", "stoneer.example.org/fr/3", ""], counts)
-    assert bad > fine + 0.5 and none == 0
-
-
-def test_counts_match_a_plain_count():
-    texts = ["abc/1", "", "naïve/22", "abc/3"]
-    counts = np.zeros((2, url_filter.BUCKETS), np.int64)
-    url_filter.count(texts, counts, np.array([0, 1, 0, 1]))
-    chars = sum(len(t.encode()) + 1 for t in texts)
-    assert counts.sum() == 2 * (url_filter.ORDER + 1) * chars
-    assert counts[0].sum() == 2 * (url_filter.ORDER + 1) * (len("abc/1") + 1 + len("naïve/22".encode()) + 1)
-
-
 # --- quality classifier
 
 
