@@ -1,36 +1,43 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
-Test items are partitioned by size (distinct five-word shingles), in classes
-that double. An item with n shingles keeps as its sketch its k smallest shingle
-hashes, k being the least number that no document can miss if it contains the
-item: n - ceil(t * n) + 1 for the largest n of its class. So a document that
-shares no sketch hash of an item can't contain it, and the search loses nothing.
-A document's shingles are looked up in a table of all sketch hashes; each item
-that is hit is verified by counting its shingles in the document.
-
-Banded signatures were left out on purpose: a short item in a long document has
-a Jaccard similarity near zero, where bands either miss it or pass everything.
+Test items are partitioned by size (distinct five-word shingles), in classes that
+double. The signature of an item is its bottom-k MinHash sketch, its k smallest
+shingle hashes. Each partition has its own k and its own threshold, the number of
+signature hashes that a document must hold to be a candidate: of an item of n
+shingles a document may lack at most d = n - ceil(t * n), so of any k of them it
+holds k - d or more. With d of the partition's largest items, k = 2 * d + 2 and
+the threshold d + 2 (an item of fewer shingles than that signs with all of them).
+So a longer item needs more hits, the search loses nothing (its
+recall is 1), and shingles that are common by themselves make no candidates.
+
+A document looks up its shingles in the table of each partition whose smallest
+items it is large enough to contain; each candidate is verified by counting the
+item's shingles in the document.
+
+The usual form, banded signatures of fixed length with a Jaccard threshold by
+partition, was left out: a short item in a long document has a Jaccard similarity
+near zero, where bands either miss it or pass everything.
 
 Items are held by every worker if they have at most ITEM_SHINGLES shingles
-together; else sketches and shingles are joined by shuffles, with the same rows.
+together; else signatures and shingles are joined by shuffles, with the same rows.
 
 Defined results: words are split at white space, A-Z lower-cased; an item of
 fewer than five words is one shingle of all of them and is searched as such; an
 item or document without words gives nothing; null texts are empty; repeated
 documents or items give a row each; an empty table gives no rows; further
-columns are ignored by ``contained`` and kept by ``clean``.
+columns are ignored by ``contained`` and kept by ``clean``, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, WordHashes, materialize, numbered, shingle_hashes, table, words_of
+from .common import SHINGLE_WORDS, WordHashes, discard, fresh, hits, marked, materialize, row_keys, shingle_hashes, sliced, table, without_rows, words_of
 
 QUERY = "op10_minhash_containment"
 #: In hundredths, so that the comparison is exact.
@@ -39,10 +46,20 @@ ITEM_SHINGLES = 2_000_000
 _MASK = (1 << 20) - 1
 
 
-def sketch_size(n: int, percent: int = CONTAINMENT) -> int:
-    """Smallest hashes that an item with n shingles keeps: enough for the largest of its size class, never more than it has."""
-    top = 1 << (n - 1).bit_length()
-    return min(n, top - -(-percent * top // 100) + 1)
+def partition_of(n: int) -> int:
+    """The largest size in the partition of items with n shingles: a power of two."""
+    return 1 << (n - 1).bit_length()
+
+
+def lacking(n: int, percent: int = CONTAINMENT) -> int:
+    """Shingles of an item of n that a document which contains it may lack."""
+    return n - -(-percent * n // 100)
+
+
+def signature(n: int, percent: int = CONTAINMENT) -> tuple[int, int]:
+    """(hashes in the signature of an item with n shingles, how many of them a candidate holds), by the item's partition."""
+    d = lacking(partition_of(n), percent)
+    return (2 * d + 2, d + 2) if 2 * d + 2 <= n else (n, n - lacking(n, percent))
 
 
 def item_sets(items: DataFrame) -> DataFrame:
@@ -58,32 +75,51 @@ def item_sets(items: DataFrame) -> DataFrame:
     return items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(hashed, "item_id long, words int, shingles array<long>")
 
 
-class Index:
-    """Sketches and sets of all items, for one kind of shingle."""
+class Partition:
+    """Signatures of the items of one size class, and their sets."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], percent: int):
         self.items, self.percent = items, percent
-        by: dict[int, list[int]] = defaultdict(list)
+        self.needs = [signature(len(s), percent)[1] for _, s in items]
+        self.least = min(len(s) - lacking(len(s), percent) for _, s in items)
+        self.by: dict[int, list[int]] = defaultdict(list)
         for k, (_, s) in enumerate(items):
-            for h in s[: sketch_size(len(s), percent)].tolist():
-                by[h].append(k)
-        self.by = dict(by)
-        self.hashes = np.array(sorted(self.by), np.uint64)
+            for h in s[: signature(len(s), percent)[0]].tolist():
+                self.by[h].append(k)
+        self.by = dict(self.by)
+
+    def search(self, own: np.ndarray, near: list[int]):
+        """(item_id, shared, size) of the items contained in a document: its shingles, and those of them that are in any signature."""
+        hits = Counter(k for h in near if h in self.by for k in self.by[h])
+        for k in sorted(k for k, n in hits.items() if n >= self.needs[k]):
+            item, s = self.items[k]
+            at = np.minimum(np.searchsorted(own, s), len(own) - 1)
+            shared = int((own[at] == s).sum())
+            if 100 * shared >= self.percent * len(s):
+                yield item, shared, len(s)
+
+
+class Index:
+    """Partitions of all items, for one kind of shingle."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], percent: int):
+        by_size: dict[int, list] = defaultdict(list)
+        for item in items:
+            by_size[partition_of(len(item[1]))].append(item)
+        self.partitions = [Partition(by_size[size], percent) for size in sorted(by_size)]
+        self.hashes = np.array(sorted(set().union(*(p.by for p in self.partitions))), np.uint64)
         self.maybe = np.zeros(_MASK + 1, bool)
         self.maybe[(self.hashes & np.uint64(_MASK)).astype(np.int64)] = True
 
     def search(self, shingles: np.ndarray):
         """(item_id, shared, size) of the items contained in a document with these shingles (repeats allowed)."""
         near = shingles[self.maybe[(shingles & np.uint64(_MASK)).astype(np.int64)]]
-        hits = {k for h in np.intersect1d(near, self.hashes).tolist() for k in self.by[h]} if len(near) else ()
-        if hits:
+        met = np.intersect1d(near, self.hashes).tolist() if len(near) else []
+        if met:
             own = np.unique(shingles)
-            for k in sorted(hits):
-                item, s = self.items[k]
-                at = np.minimum(np.searchsorted(own, s), len(own) - 1)
-                shared = int((own[at] == s).sum())
-                if 100 * shared >= self.percent * len(s):
-                    yield item, shared, len(s)
+            for p in self.partitions:
+                if p.least <= len(own):
+                    yield from p.search(own, met)
 
 
 def contained(docs: DataFrame, items: DataFrame, percent: int = CONTAINMENT, item_shingles: int = ITEM_SHINGLES) -> DataFrame:
@@ -102,7 +138,7 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = CONTAINMENT, ite
 
     def search(batches):
         cache, indexes = WordHashes(), {n: Index(found, percent) for n, found in shared.value.items()}
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for doc_id, words in zip(b["doc_id"].to_pylist(), map(words_of, b["text"].to_pylist()), strict=True):
                 for n, index in indexes.items():
@@ -114,38 +150,45 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = CONTAINMENT, ite
 
 
 def _joined(docs: DataFrame, sets: DataFrame, percent: int, kinds: list[int]) -> DataFrame:
-    """The same rows for items too many to broadcast; rows of equal documents are told apart by a number."""
+    """The same rows for items too many to broadcast; rows of equal documents are told apart by a number. Only shingles that may be an item's are shuffled."""
+    bits = marked(sets.select(F.explode("shingles").alias("shingle")), hashed=True)
 
     def hashed(batches):
         cache = WordHashes()
-        for b in batches:
+        for b in sliced(batches):
+            cols: list[list] = [[], [], [], []]
             for doc_id, row, words in zip(b["doc_id"].to_pylist(), b["row"].to_pylist(), map(words_of, b["text"].to_pylist()), strict=True):
                 for n in kinds:
                     if len(words) >= n:
                         h = np.unique(shingle_hashes(words, cache, n)).view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(h), pa.int64()), pa.array([row] * len(h), pa.int64()), pa.array([n] * len(h), pa.int32()), pa.array(h)], ["doc_id", "row", "words", "shingle"])
-
-    numbered = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "docs")
-    mine = numbered.mapInArrow(hashed, "doc_id long, row long, words int, shingle long")
-    keyed = sets.withColumn("item", F.monotonically_increasing_id())
-    keyed = materialize(keyed, "item-sets")
-
-    @F.udf("int")
-    def size(n):
-        return sketch_size(n, percent)
-
-    # sets are ordered as unsigned numbers already, so the sketch is the array's head
-    sketch = keyed.select("item", "words", F.explode(F.slice("shingles", F.lit(1), size(F.size("shingles")))).alias("shingle"))
-    pairs = mine.join(sketch, ["words", "shingle"]).select("row", "item").distinct()
+                        h = h[hits(h, bits.value)]
+                        for c, v in zip(cols, ([doc_id] * len(h), [row] * len(h), [n] * len(h), h.tolist()), strict=True):
+                            c += v
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "row", "words", "shingle"])
+
+    rows = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "docs")
+    mine = materialize(rows.mapInArrow(hashed, "doc_id long, row long, words int, shingle long"), "doc-shingles")
+    discard(rows)
+    keyed = materialize(sets.withColumn("item", F.monotonically_increasing_id()), "item-sets")
+
+    @F.udf("struct<k:int,needs:int>")
+    def of(n):
+        return signature(n, percent)
+
+    # sets are ordered as unsigned numbers already, so the signature is the array's head
+    signed = keyed.withColumn("of", of(F.size("shingles")))
+    signs = signed.select("item", "words", "of.needs", F.explode(F.slice("shingles", F.lit(1), F.col("of.k"))).alias("shingle"))
+    pairs = mine.join(signs, ["words", "shingle"]).groupBy("row", "item").agg(F.count("*").alias("met"), F.first("needs").alias("needs")).filter("met >= needs").select("row", "item")
     shared = pairs.join(keyed.select("item", "item_id", "words", F.size("shingles").alias("n_item"), F.explode("shingles").alias("shingle")), "item").join(mine, ["row", "words", "shingle"])
     return shared.groupBy("row", "item", "doc_id", "item_id", "n_item").agg(F.count("*").alias("n_shared")).filter(100 * F.col("n_shared") >= percent * F.col("n_item")).select("doc_id", "item_id", "n_shared", F.col("n_item").cast("long").alias("n_item"))
 
 
 def clean(docs: DataFrame, items: DataFrame, percent: int = CONTAINMENT) -> DataFrame:
     """docs without the rows that contain an item, whatever their doc_id; columns as they were."""
-    kept = numbered(docs)
-    found = contained(kept.select(F.col("__row").alias("doc_id"), "text"), items, percent).select(F.col("doc_id").alias("__row")).distinct()
-    return kept.join(found, "__row", "left_anti").select(*docs.columns)
+    row = fresh(docs, "__row")[0]
+    kept = row_keys(docs, row)
+    found = materialize(contained(kept.select(F.col(row).alias("doc_id"), "text"), items, percent).select(F.col("doc_id").alias("row")).distinct(), "leaks")
+    return without_rows(kept, found, row).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
