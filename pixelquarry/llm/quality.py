@@ -1,12 +1,19 @@
 """Quality classifier: supervised subword embeddings.
 
 Every word and its character n-grams (three to five, with the word's bounds) are
-hashed into one table of learned vectors. A document is the mean of the vectors
-of all of them, of one end mark, and of a mark for every word that repeats the
-one before it; a softmax layer gives the class. Vectors
-and layer are trained by stochastic gradient descent in numpy, on a sample of at
-most TRAIN_ROWS labelled documents outside the held-out fold (those with the
-smallest hash of doc_id). Scores use whole texts.
+hashed into one table of learned vectors; so is how long ago each word was last
+said in the document (the binary order of the distance in words, or never), which
+tells running text from text that repeats itself, whatever the words. A document is
+the mean of the vectors of all of them and of one end mark; a softmax layer gives
+the class. Vectors and layer are trained by stochastic gradient descent in numpy, on a sample of at most
+TRAIN_ROWS labelled documents outside the held-out fold (those with the smallest
+hash of doc_id), as far as they have TRAIN_CHARS characters together. Scores use
+whole texts.
+
+The softmax of a trained layer is too sure of itself, and its zero lies anywhere
+between the classes. So every FOLDS-th document of the sample isn't trained on,
+but its output is used to fit slope and intercept of the score (Platt's scaling,
+with his corrected targets).
 
 Scoring a word needs only what its vectors add to the difference of the two
 outputs, so a worker remembers one number for each word.
@@ -24,20 +31,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, table
+from .common import fresh, mix, table
 
 QUERY = "op6_subword_quality"
 ORACLE_SQL = None  # a trained model
-#: The bound of the training sample, and the model's size.
-TRAIN_ROWS, BUCKETS, DIM = 6000, 1 << 17, 16
+#: The bounds of the training sample in rows and characters, and the model's size.
+TRAIN_ROWS, TRAIN_CHARS, BUCKETS, DIM = 6000, 60_000_000, 1 << 17, 16
 NGRAMS = (3, 4, 5)
 PASSES, LEAST_STEPS, RATE = 4, 12_000, 0.5
 THRESHOLD = 0.3
 #: Words that a worker remembers (the table is emptied when full), and texts whose words it holds at once.
 CACHED_WORDS, SLICE = 500_000, 128
 _P = np.uint64(0x100000001B3)
-#: Buckets of the end mark and of the mark of a repeated word, and how often the latter counts.
-END, SAME, SAME_TIMES = 0, 1, 8
+#: Buckets of the end mark, and of a word's distances; buckets before the hashed ones.
+END, NEVER, LAST_SAID, FIXED = 0, 1, 2, 32
+#: One document of so many calibrates.
+FOLDS = 5
 
 
 def held_out(doc_id):
@@ -65,13 +74,23 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     whole = np.add.reduceat((data + np.uint64(1)) * weight, starts)
     ids.append(whole)
     owners.append(np.arange(len(words)))
-    return (mix(np.concatenate(ids)) % np.uint64(BUCKETS - 2)).astype(np.int64) + 2, np.concatenate(owners)
+    return (mix(np.concatenate(ids)) % np.uint64(BUCKETS - FIXED)).astype(np.int64) + FIXED, np.concatenate(owners)
 
 
 def words_in(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def last_said(words: np.ndarray) -> np.ndarray:
+    """Of each word of a document (as a number), the bucket of the distance to the same word before it."""
+    order = np.argsort(words, kind="stable")
+    gap = np.diff(order, prepend=0)
+    gap[np.diff(words[order], prepend=-1) != 0] = 0
+    out = np.empty(len(words), np.int64)
+    out[order] = np.where(gap > 0, np.minimum(LAST_SAID + np.frexp(gap.astype(np.float64))[1] - 1, FIXED - 1), NEVER)
+    return out
+
+
 def _weights(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of each text its buckets and their shares."""
     vocabulary: dict[bytes, int] = {}
@@ -81,24 +100,45 @@ def _weights(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     ids, at = ids[order], np.searchsorted(owner[order], np.arange(len(vocabulary) + 1))
     out = []
     for d in docs:
-        same = SAME_TIMES * int((d[1:] == d[:-1]).sum())
         words, times = np.unique(d, return_counts=True)
         n = at[words + 1] - at[words]
         own = np.repeat(at[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        f, where = np.unique(np.append(ids[own], [END, SAME]), return_inverse=True)
-        weight = np.bincount(where, np.append(np.repeat(times, n), [1, same]))
+        f, where = np.unique(np.concatenate([ids[own], last_said(d), [END]]), return_inverse=True)
+        weight = np.bincount(where, np.concatenate([np.repeat(times, n), np.ones(len(d) + 1)]))
         out.append((f.astype(np.int32), (weight / weight.sum()).astype(np.float32)))
     return out
 
 
+def platt(z: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of the log-odds of label 1 by Newton's method; (1, 0) where there aren't both labels."""
+    ones = int(labels.sum())
+    if not 0 < ones < len(labels):
+        return 1.0, 0.0
+    target = np.where(labels == 1, (ones + 1) / (ones + 2), 1 / (len(labels) - ones + 2))
+    x, w = np.stack([z, np.ones(len(z))], 1), np.array([1.0, np.log((ones + 1) / (len(labels) - ones + 1))])
+    loss = lambda w: float(np.sum(np.logaddexp(0, x @ w) - target * (x @ w)))
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(2), x.T @ (p - target))
+        size = 1.0
+        while loss(w - size * step) > loss(w) and size > 1e-10:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
+
+
 class Model:
-    """Fitted on texts and 0/1 labels; what scoring needs of it is one number for each bucket, and the prior where nothing can be learned."""
+    """Fitted on texts and 0/1 labels; what scoring needs of it is one number for each bucket, the scaling, and the prior where nothing can be learned."""
 
     def __init__(self, texts: list[str | None], labels: list[int], seed: int = 1):
         self.prior = float(np.mean(labels)) if len(labels) else 0.5
-        self.gain = None
-        if len(set(labels)) > 1:
-            self.gain = self._fit(texts, np.array(labels), np.random.default_rng(seed))
+        self.gain, self.scale = None, (1.0, 0.0)
+        of, aside = np.array(labels), np.arange(len(labels)) % FOLDS == FOLDS - 1
+        if len(set(of[~aside].tolist())) > 1:
+            self.gain = self._fit([t for t, x in zip(texts, aside, strict=True) if not x], of[~aside], np.random.default_rng(seed))
+            self.scale = platt(Scorer(self.gain, self.scale, self.prior).outputs([t for t, x in zip(texts, aside, strict=True) if x]), of[aside])
 
     @staticmethod
     def _fit(texts, labels, random) -> np.ndarray:
@@ -124,8 +164,8 @@ class Model:
 
 
 class Scorer:
-    def __init__(self, gain: np.ndarray | None, prior: float):
-        self.gain, self.prior = gain, prior
+    def __init__(self, gain: np.ndarray | None, scale: tuple[float, float], prior: float):
+        self.gain, self.scale, self.prior = gain, scale, prior
         self.clear()
 
     def clear(self):
@@ -135,9 +175,13 @@ class Scorer:
     def scores(self, texts) -> np.ndarray:
         if self.gain is None:
             return np.full(len(texts), self.prior)
-        return np.concatenate([np.empty(0), *(self._scores(texts[k : k + SLICE]) for k in range(0, len(texts), SLICE))])
+        return 1 / (1 + np.exp(-np.clip(self.scale[0] * self.outputs(texts) + self.scale[1], -500, 500)))
+
+    def outputs(self, texts) -> np.ndarray:
+        """Differences of the layer's two outputs."""
+        return np.concatenate([np.empty(0), *(self._outputs(texts[k : k + SLICE]) for k in range(0, len(texts), SLICE))])
 
-    def _scores(self, texts) -> np.ndarray:
+    def _outputs(self, texts) -> np.ndarray:
         docs = [words_in(t) for t in texts]
         new = list(set().union(*docs).difference(self.number))
         if len(self.number) + len(new) > CACHED_WORDS:
@@ -154,26 +198,31 @@ class Scorer:
         z = np.empty(len(docs))
         for i, d in enumerate(docs):
             k = np.fromiter(map(self.number.__getitem__, d), np.int64, len(d))
-            same = SAME_TIMES * int((k[1:] == k[:-1]).sum())
-            z[i] = (self.total[k].sum() + self.gain[END] + same * self.gain[SAME]) / (self.n[k].sum() + 1 + same)
-        return 1 / (1 + np.exp(-z))
+            z[i] = (self.total[k].sum() + self.gain[last_said(k)].sum() + self.gain[END]) / (self.n[k].sum() + len(k) + 1)
+        return z
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> Model:
-    """Train on at most so many labelled documents outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
+    """Train on at most so many labelled documents, and characters of them, outside the held-out fold."""
     sample = (
         labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
         .limit(rows)
     )  # bounded, so it may be broadcast
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").orderBy("doc_id", "label", "text").limit(rows).toPandas()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    sizes = texts.select("doc_id", "n").join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "label", "n").limit(rows).toPandas()
+    sizes = sizes[sizes["n"].cumsum() <= chars]
+    if sizes.empty:
+        return Model([], [])
+    chosen = docs.sparkSession.createDataFrame(sizes[["doc_id", "n", "label"]].drop_duplicates(), "doc_id long, n int, label int")
+    found = texts.join(F.broadcast(chosen), ["doc_id", "n"]).orderBy(F.xxhash64("doc_id"), "doc_id", "label", "text").limit(len(sizes)).toPandas()
     return Model(found["text"].tolist(), found["label"].tolist())
 
 
 def scored(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
-    """docs with one more column, the likelihood of label 1 (the column must not be there yet)."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.gain, model.prior))
+    """docs with one more column, the likelihood of label 1; a column of that name is replaced."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.gain, model.scale, model.prior))
     kept: list[Scorer] = []
 
     @F.pandas_udf("double")
@@ -187,7 +236,7 @@ def scored(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that score below the threshold; columns as they were."""
-    name = "__quality_score"
+    name = fresh(docs, "__score")[0]
     return scored(docs, fit(docs, labels), name).filter(F.col(name) >= threshold).drop(name)
 
 
