@@ -7,8 +7,10 @@ first id's number, its ids, its planes' lengths, its crc32) and the documents
 (doc_id, n_tokens) in the order of their ids. A reader can fetch any block alone.
 
 Documents are dealt out by ranges of doc_id and sorted inside each, so files in
-order of their part number hold them in ascending doc_id. A task writes its file
-under a name of its attempt and moves it; only files in the manifest are read.
+order of their part and roll number hold them in ascending doc_id. A task begins a
+new file at FILE_IDS ids or FILE_DOCS documents, so that files, their footers and
+what one task reads back are bounded. It writes a file under a name of its attempt
+and moves it; only files in the manifest are read.
 
 Defined results: a null text is empty and has the end id alone; rows with equal
 doc_id are ordered by text and all kept; a null doc_id comes first; an empty
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, shared_dir, table
+from .common import materialize, shared_dir, sliced, table
 from .store import Upload, opened, read_range, retried
 from .tokens import END_ID, encode_all
 
@@ -36,6 +38,8 @@ QUERY = "op7_bitplane_ids"
 ORACLE_SQL = None  # token ids need the tokenizer
 MAGIC = b"IDPLANE1"
 BLOCK_IDS, LEVEL = 1 << 16, 3
+#: A file is closed after the document with which it reaches one of these.
+FILE_IDS, FILE_DOCS = 1 << 26, 1 << 20
 _FOOTER = pa.schema([("planes", pa.string()), ("at", pa.list_(pa.int64())), ("first", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.list_(pa.int64()))), ("crc", pa.list_(pa.int64())), ("doc_id", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64()))])
 
 
@@ -140,18 +144,29 @@ class PlaneReader:
 def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, planes: str = "byte") -> DataFrame:
     """Write all documents' ids below path; returns the manifest, one row for each file, already written."""
 
+    schema = pa.schema([("part", pa.int64()), ("roll", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
+
     def write(batches):
-        part, out = TaskContext.get().partitionId(), None
-        for b in batches:
-            out = out or PlaneFile(path, f"part-{part:06d}.idp", planes)
+        part, roll, out = TaskContext.get().partitionId(), 0, None
+
+        def done():
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, (part, roll, f"{path}/{name()}", *out.close()), strict=True))], schema)
+
+        def name():
+            return f"part-{part:06d}-{roll:06d}.idp"
+
+        for b in sliced(batches):
             for doc_id, ids in zip(b["doc_id"].to_pylist(), encode_all(b["text"].to_pylist(), tokenizer, end_id), strict=True):
+                out = out or PlaneFile(path, name(), planes)
                 out.add(doc_id, ids)
+                if out.n_written + out.n_waiting >= FILE_IDS or len(out.rows["doc_id"]) >= FILE_DOCS:
+                    yield done()
+                    out, roll = None, roll + 1
         if out:
-            n_docs, n_ids, n_bytes = out.close()
-            yield pa.RecordBatch.from_pydict({"part": [part], "file": [f"{path}/part-{part:06d}.idp"], "n_docs": [n_docs], "n_ids": [n_ids], "n_bytes": [n_bytes]})
+            yield done()
 
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(ranged.mapInArrow(write, "part long, file string, n_docs long, n_ids long, n_bytes long"), "ids-manifest")
+    return materialize(ranged.mapInArrow(write, "part long, roll long, file string, n_docs long, n_ids long, n_bytes long"), "ids-manifest")
 
 
 def read_ids(manifest: DataFrame, digest: bool = False) -> DataFrame:
@@ -174,7 +189,7 @@ def read_ids(manifest: DataFrame, digest: bool = False) -> DataFrame:
 
     last = "ids_crc32" if digest else "ids"
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), (last, pa.int64() if digest else pa.list_(pa.int64()))])
-    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "roll").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = manifest.select("file", before.alias("start"))  # one row a file: a window over all of them is small
     return files.repartition(max(1, manifest.count())).mapInArrow(read, f"doc_id long, start long, n_tokens long, {last} {'long' if digest else 'array<long>'}")
 

@@ -5,11 +5,13 @@ a text of single spaces and line ends each space or line end begins a piece, so
 the ids of what stands between them don't depend on what is around. Every
 distinct word is encoded by the library once in a batch and remembered. Other
 texts (white space in runs, characters above U+02AF, an added token's string)
-are given to the library as they are.
+are given to the library as they are. So are all texts if the tokenizer's file
+isn't such a BPE with that very pre-tokenizer and nothing else (``plain``).
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import unicodedata
@@ -51,6 +53,7 @@ def _byte_letters() -> dict[int, int]:
 
 
 _LETTERS = _byte_letters()
+_LETTERS_USED = [chr(c) for c in sorted(_LETTERS.values())]
 
 
 class _Pieces(dict):
@@ -86,12 +89,28 @@ class _Words(dict):
         return out
 
 
+def plain(tokenizer: Tokenizer) -> bool:
+    """Whether the tokenizer is a byte-level BPE whose pieces are those of _PIECE: no normalizer, no truncation, nothing that depends on more than a piece."""
+    said = json.loads(tokenizer.to_str())
+    model, cutter = said["model"], said["pre_tokenizer"] or {}
+    return (
+        model.get("type") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        and cutter.get("type") == "ByteLevel"
+        and cutter.get("use_regex", True)
+        and not cutter.get("add_prefix_space")
+        and not any(said.get(k) for k in ("normalizer", "truncation", "padding"))
+        and all(t in tokenizer.get_vocab() for t in _LETTERS_USED)
+    )
+
+
 class Encoder:
     """encode(text): the ids as little-endian unsigned 32-bit integers, in bytes; null is an empty text."""
 
     def __init__(self, path: str | None = None):
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
         self.tokenizer.encode_special_tokens = False
+        self.plain = plain(self.tokenizer)
         self.words = _Words(_Pieces(self.tokenizer.model))
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
@@ -99,7 +118,7 @@ class Encoder:
         if not text:
             return b""
         t = "\n" + text
-        if "  " in t or "\n " in t or " \n" in t or "\n\n" in t or t[-1] in " \n" or _ODD.search(text) or any(a in text for a in self.added):
+        if not self.plain or "  " in t or "\n " in t or " \n" in t or "\n\n" in t or t[-1] in " \n" or _ODD.search(text) or any(a in text for a in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         # single spaces and line ends, never beside each other: each begins a piece, and all up to the next has ids of its own
         return b"".join(map(self.words.__getitem__, t.replace("\n", " \n")[1:].split(" ")))[4:]

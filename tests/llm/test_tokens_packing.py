@@ -96,3 +96,23 @@ def test_least_squares_never_uses_more_than_there_is():
         for v in p[p > 0]:
             used[v] += c
     assert (used <= hist).all() and counts.sum() >= 2
+
+
+def test_other_tokenizers_ids_are_the_library_s():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    assert encoder().plain and not encoder(path).plain
+    for text in ("abc 12345 def", "It's the Same\nword word", "x"):
+        assert encoder(path).encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_files_roll(spark, monkeypatch):
+    monkeypatch.setattr(bitplane, "FILE_DOCS", 7)
+    texts = [(i, " ".join(f"w{i}x{k}" for k in range(i % 30))) for i in range(60)]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    manifest = bitplane.write_ids(table, shared_dir(spark, "roll"))
+    assert manifest.count() >= 9 and manifest.agg({"n_docs": "max"}).first()[0] <= 7
+    start = 0
+    for g, (i, t) in zip(sorted(bitplane.read_ids(manifest).collect(), key=lambda r: r["start"]), texts, strict=True):
+        assert (g["doc_id"], g["start"], g["ids"]) == (i, start, plain(t).tolist())
+        start += g["n_tokens"]
