@@ -16,8 +16,9 @@ length, counted in salted groups so that no length has to fit into one task.
 
 Defined results: a null text is empty and is packed as its end id; only
 documents longer than a sequence are cut, the first piece being the shorter;
-rows with equal doc_id are told apart by a row number; an empty table gives no
-rows; further columns are ignored.
+pieces of one length are ranked by doc_id, piece and their ids' crc, those that are
+the same in all of them arbitrarily; an empty table gives no rows; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -32,21 +33,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, table
+from .common import materialize, sliced, table
 from .tokens import END_ID, encode_all
 
 QUERY = "op2_nnls_packing"
 ORACLE_SQL = None  # token ids need the tokenizer
 SEQUENCE = 2048
-#: Rounds of the least-squares fit, and pieces that share one salt.
-ROUNDS, SALT_ROWS = 300, 200_000
+#: Rounds of the least-squares fit, and pieces of one length that share a salt.
+ROUNDS, SALT_ROWS = 300, 1000
 
 
 def pieces_of(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str | None = None, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Whole texts as pieces of at most one sequence: (doc_id, piece, start, length, ids_crc32[, ids])."""
 
     def cut(batches):
-        for b in batches:
+        for b in sliced(batches):
             rows: dict[str, list] = {f.name: [] for f in schema}
             for doc_id, ids in zip(b["doc_id"].to_pylist(), encode_all(b["text"].to_pylist(), tokenizer, end_id), strict=True):
                 n, view = len(ids) // 4, memoryview(ids)
@@ -181,8 +182,8 @@ def place(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     begins = np.searchsorted(lengths, np.arange(sequence + 2))
     shared = pieces.sparkSession.sparkContext.broadcast((begins, firsts, ids, offsets))  # bounded by the patterns, not by the corpus
 
-    salts = max(1, int(hist.sum() // SALT_ROWS))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    salts = F.element_at(F.lit(np.maximum(1, hist // SALT_ROWS).tolist()), (F.col("length") + 1).cast("int"))  # a number for each length
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), salts).cast("long"))
     per_salt = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     base = per_salt.select("length", "salt", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     local = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
