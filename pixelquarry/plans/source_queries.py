@@ -88,7 +88,7 @@ SOURCES = {
     "clone_as_rgba64": _cloned("Rgba64", list("rgba")),
     "clone_as_la16": _cloned("La16", [_GRAY] * 3 + ["a"]),
     "clone_as_a8": _cloned("A8", ["0", "0", "0", "a"]),
-    **{f"round_trip_{f}": (_round_trip(f), _same) for f in ("png", "qoi", "bmp", "tga", "tiff", "ico", "cur", "ani")},
+    **{f"round_trip_{f}": (_round_trip(f), _same) for f in ("png", "qoi", "bmp", "tga", "tiff", "ico", "cur", "ani", "webp")},
     "round_trip_tga_rle": (_round_trip("tga", rle=True), _same),
     **{f"round_trip_tiff_{c}": (_round_trip("tiff", compression=c), _same) for c in ("none", "lzw", "packbits")},
     "round_trip_tiff_predictor": (_round_trip("tiff", predictor=True), _same),
@@ -98,6 +98,7 @@ SOURCES = {
     **{f"round_trip_jpeg_{q}": (_round_trip("jpeg", quality=q, subsampled=False), (lambda s, q=q: O.jpeg_round_trip(s, q))) for q in (30, 75, 95)},
     "round_trip_jpeg_gray": (_round_trip("jpeg", quality=90, gray=True), lambda s: O.jpeg_round_trip(s, 90, True)),
     "identify_jpeg": _identified("jpeg", 24),
+    "identify_webp": _identified("webp", 32),
     "detect_format": (_detected, _detected_sql),
     "identify_png": _identified("png", 32),
     "identify_qoi": _identified("qoi", 32),

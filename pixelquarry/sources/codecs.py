@@ -1,8 +1,8 @@
 """Image files to frames and back, with numpy and zlib. Each decoder gives a list of height x width x 4 uint8 arrays (frames).
 
 A file that can't be decoded raises CodecError; the data source turns that into
-an error column. JPEG is in a module of its own; WebP and EXR are recognised and
-identified, EXR is decoded where it is not compressed or zipped.
+an error column. JPEG and WebP (its lossless form) are in modules of their own;
+EXR is decoded where it is not compressed or zipped.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import zlib
 import numpy as np
 
 from .jpeg import decode_jpeg, encode_jpeg
+from .webp import decode_webp, encode_webp
 
 
 class CodecError(ValueError):
@@ -1017,8 +1018,8 @@ def identify(data: bytes) -> dict:
     return out
 
 
-DECODERS = {"png": decode_png, "jpeg": decode_jpeg, "gif": decode_gif, "bmp": decode_bmp, "pbm": decode_pbm, "tga": decode_tga, "qoi": decode_qoi, "tiff": decode_tiff, "ico": decode_icon, "cur": decode_icon, "ani": decode_ani, "exr": decode_exr}
-ENCODERS = {"png": encode_png, "jpeg": encode_jpeg, "gif": encode_gif, "bmp": encode_bmp, "pbm": encode_pbm, "tga": encode_tga, "qoi": encode_qoi, "tiff": encode_tiff, "ico": encode_icon, "cur": lambda f, **k: encode_icon(f, True, **k), "ani": encode_ani}
+DECODERS = {"png": decode_png, "jpeg": decode_jpeg, "webp": decode_webp, "gif": decode_gif, "bmp": decode_bmp, "pbm": decode_pbm, "tga": decode_tga, "qoi": decode_qoi, "tiff": decode_tiff, "ico": decode_icon, "cur": decode_icon, "ani": decode_ani, "exr": decode_exr}
+ENCODERS = {"png": encode_png, "jpeg": encode_jpeg, "webp": encode_webp, "gif": encode_gif, "bmp": encode_bmp, "pbm": encode_pbm, "tga": encode_tga, "qoi": encode_qoi, "tiff": encode_tiff, "ico": encode_icon, "cur": lambda f, **k: encode_icon(f, True, **k), "ani": encode_ani}
 
 
 def decode(data: bytes | None, max_frames: int | None = None, target: tuple[int, int] | None = None) -> list[np.ndarray]:

@@ -22,7 +22,7 @@ from ..kernels import resample
 from ..kernels.base import to_bytes
 from . import codecs, metadata
 
-SUFFIXES = {"png": "png", "jpeg": "jpg", "gif": "gif", "bmp": "bmp", "pbm": "ppm", "tga": "tga", "qoi": "qoi", "tiff": "tiff", "ico": "ico", "cur": "cur", "ani": "ani"}
+SUFFIXES = {"png": "png", "jpeg": "jpg", "webp": "webp", "gif": "gif", "bmp": "bmp", "pbm": "ppm", "tga": "tga", "qoi": "qoi", "tiff": "tiff", "ico": "ico", "cur": "cur", "ani": "ani"}
 MIME = {"png": "image/png", "gif": "image/gif", "bmp": "image/bmp", "pbm": "image/x-portable-pixmap", "tga": "image/x-tga", "qoi": "image/qoi", "tiff": "image/tiff", "ico": "image/x-icon", "cur": "image/x-icon", "ani": "application/x-navi-animation", "jpeg": "image/jpeg", "webp": "image/webp", "exr": "image/x-exr"}
 
 
