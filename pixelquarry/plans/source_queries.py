@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..frames import assemble, clone_as, explode
+from ..operators import palette as P
 from ..sources import files, metadata
 from . import frame_oracles as O
 
@@ -77,7 +78,24 @@ def _coarse(c, bits):
 
 
 _GRAY = "floor((0.2126e0 * (r / 255e0) + 0.7152e0 * (g / 255e0) + 0.0722e0 * (b / 255e0)) * 255 + 0.500000001e0)"
+def _animated(fmt, palette=None):
+    """Three images at a time become the frames of one file."""
+
+    def run(px):
+        px = P.quantize(px, palette).drop("idx") if palette else px
+        px = px.withColumns({"frame_no": F.pmod("image_id", F.lit(3)).cast("int"), "image_id": F.floor(F.col("image_id") / 3)})
+        return explode(files.decode(files.encode(assemble(px), fmt)))
+
+    def text(source):
+        inner = f"({P.quantize.sql(source, palette)}) AS q" if palette else f"{source} AS q"
+        return f"SELECT CAST(floor(image_id / 3e0) AS BIGINT) AS image_id, CAST(((image_id % 3) + 3) % 3 AS INT) AS frame_no, y, x, r, g, b, a FROM {inner}"
+
+    return run, text
+
+
 SOURCES = {
+    "round_trip_apng": _animated("png"),
+    "round_trip_gif": _animated("gif", P.websafe()),
     "auto_orient_exif": _oriented("png"),
     "clone_as_bgr565": _cloned("Bgr565", [_coarse("r", 5), _coarse("g", 6), _coarse("b", 5), "255"]),
     "clone_as_bgra5551": _cloned("Bgra5551", [*(_coarse(c, 5) for c in "rgb"), _coarse("a", 1)]),
