@@ -65,6 +65,8 @@ BITS = 1024
 HOT = 12
 #: Partners before a set that are met one by one; pivots of a set whose bitmaps are compared; pivots of a group that those outside of its largest component meet in a round.
 FEW, PIVOTS, SPREAD = 8, 6, 16
+#: Bytes of a set's name (of the digest's 16) by which it is joined, where no two sets share them; else all 16.
+SHORT = 8
 #: Sets whose copies one task leaves out.
 SEEN = 200_000
 #: While more pairs than this for each row of the index are left, pivots go on, as long as each round leaves at most this share of them.
@@ -149,7 +151,7 @@ def _sketch(found: DataFrame) -> np.ndarray:
     return out
 
 
-def _index(docs: DataFrame, shared, percent: int) -> DataFrame:
+def _index(docs: DataFrame, shared, percent: int, width: int) -> DataFrame:
     """(key, token, cid, at): the prefix of every set under the first order; at is the set's size and the token's place in it.
 
     key deals the rows out: the token's own number, or one of several for a frequent token, whose number then stands in token.
@@ -161,7 +163,7 @@ def _index(docs: DataFrame, shared, percent: int) -> DataFrame:
         for b in sliced(batches):
             keys, tokens, cids, at = [], [], [], []
             for _, s in _sets(b):
-                name = digest(s)
+                name = digest(s)[:width]
                 if not name or name in seen:
                     continue
                 if len(seen) >= SEEN:
@@ -220,7 +222,7 @@ def _groups(rows: DataFrame, percent: int) -> DataFrame:
     return seen.filter("crowded OR size(partners) > 0").select(F.coalesce("token", "key").alias("token"), "cid", "at", "partners", "pivot")
 
 
-def _texts_to_sets(docs: DataFrame, ids: DataFrame, shared, percent: int) -> DataFrame:
+def _texts_to_sets(docs: DataFrame, ids: DataFrame, shared, percent: int, width: int) -> DataFrame:
     """(cid, n, bits, p0, p1..., tokens) of the documents picked by ids (and of a few more): bitmaps, 32-bit prefixes under the other orders, sets."""
     bits = marked(ids.select("doc_id"))
     extra = [f"p{k}" for k in range(len(ORDERS))]
@@ -231,7 +233,7 @@ def _texts_to_sets(docs: DataFrame, ids: DataFrame, shared, percent: int) -> Dat
             for _, s in _sets(b):
                 if len(s):
                     p, f = prefix_length(len(s), percent), frequency_class(s, shared.value)
-                    rows.append((digest(s), len(s), bitmap(s), *((rarest_first(s, f, o)[:p] >> np.uint64(32)).astype(np.uint32).view(np.int32) for o in ORDERS), s.view(np.int64)))
+                    rows.append((digest(s)[:width], len(s), bitmap(s), *((rarest_first(s, f, o)[:p] >> np.uint64(32)).astype(np.uint32).view(np.int32) for o in ORDERS), s.view(np.int64)))
             if rows:
                 cols = list(zip(*rows))
                 types = [pa.binary(), pa.int64(), pa.list_(pa.int64()), *(pa.list_(pa.int32()) for _ in extra), pa.list_(pa.int64())]
@@ -305,9 +307,13 @@ def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFram
     found = materialize(_pass_one(docs), "sets")
     documents = found.filter("chunk IS NULL").select("doc_id", "n", "cid")
     shared = spark.sparkContext.broadcast(_sketch(found))
+    short = F.substring("cid", 1, SHORT)
+    shared_names = documents.filter("n > 0").select("cid").distinct().groupBy(short.alias("cid")).count().filter("count > 1")
+    width = SHORT if shared_names.isEmpty() else 16
+    documents = documents.withColumn("cid", F.substring("cid", 1, width))
     names = documents.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
 
-    index = materialize(_groups(_index(docs, shared, percent), percent), "index")
+    index = materialize(_groups(_index(docs, shared, percent, width), percent), "index")
     tidy(spark)
     crowd = index.filter("pivot IS NOT NULL").select("token", "cid", "at", "pivot")
     crowded = materialize(crowd.select("cid").distinct(), "crowded")
@@ -319,7 +325,7 @@ def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFram
     pairs = materialize(met.filter(F.col("k") >= F.least(F.lit(SHARED), must)).unionByName(short).select("a", "b"), "pairs")
     tidy(spark)
     members = crowded.union(pairs.select("a")).union(pairs.select("b")).distinct()
-    sets = materialize(_texts_to_sets(docs, members.join(names, "cid"), shared, percent), "tokens")
+    sets = materialize(_texts_to_sets(docs, members.join(names, "cid"), shared, percent, width), "tokens")
     few = materialize(sets.drop("tokens").join(crowded, "cid", "left_semi"), "crowd-sets")
 
     near = materialize(_candidates(pairs, sets, percent), "near-pairs")

@@ -132,6 +132,14 @@ def test_salted_tokens_match_brute_force(spark, monkeypatch):
     assert sorted((str(g["doc_id"]), g["n_shingles"], g["component_id"]) for g in got) == brute_components(docs)
 
 
+@pytest.mark.parametrize("short", [1, 0])
+def test_names_that_sets_share_are_made_longer(spark, monkeypatch, short):
+    monkeypatch.setattr(ngram_join, "SHORT", short)  # hardly any or no byte to tell sets apart by
+    docs = chains(9, 36)
+    got = ngram_join.component_of(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((str(g["doc_id"]), g["n_shingles"], g["component_id"]) for g in got) == brute_components(docs)
+
+
 @pytest.mark.parametrize("drop", ["orders", "bits"])
 def test_each_filter_alone_loses_nothing_and_refuses_something(spark, drop):
     import numpy as np
