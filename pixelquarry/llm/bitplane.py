@@ -155,7 +155,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
         def name():
             return f"part-{part:06d}-{roll:06d}.idp"
 
-        for b in sliced(batches):
+        for b in sliced(batches, owner="tokens"):
             for doc_id, ids in zip(b["doc_id"].to_pylist(), encode_all(b["text"].to_pylist(), tokenizer, end_id), strict=True):
                 out = out or PlaneFile(path, name(), planes)
                 out.add(doc_id, ids)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +33,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-#: Of DataFrames that materialize() gave, where they are stored.
-_STORED: dict[int, tuple[DataFrame, str]] = {}
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    _STORED[id(out)] = out, path
+    out._stored_at = path  # for discard()
     return out
 
 
@@ -140,9 +138,8 @@ def discard(*dfs: DataFrame) -> None:
     Shuffle files of finished jobs go as well, as soon as the driver's garbage is collected.
     """
     for df in dfs:
-        _, path = _STORED.pop(id(df))
         jvm = df.sparkSession.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
+        where = jvm.org.apache.hadoop.fs.Path(df._stored_at)
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     tidy(dfs[0].sparkSession)
 
@@ -227,11 +224,29 @@ def shingle_set(text: str | None, n: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(rolled(h, min(n, len(h)))) if len(h) else h
 
 
-def sliced(batches, rows: int = 512):
-    """Record batches of at most so many rows, so that what is made of one stays small."""
+#: By owner, what lets go of the tables that this Python worker keeps from task to task.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def trim(owner: str | None = None) -> None:
+    """Let go of what other owners keep, and give freed memory back to the machine, where the C library can; workers serve one stage after another."""
+    for name, forget in KEPT.items():
+        if name != owner:
+            forget()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def sliced(batches, rows: int = 512, owner: str | None = None):
+    """Record batches of at most so many rows, so that what is made of one stays small; owner's tables stay."""
+    trim(owner)
     for b in batches:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
+    trim(owner)
 
 
 def tidy(spark: SparkSession) -> None:

@@ -133,6 +133,7 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = CONTAINMENT, ite
     kinds: dict[int, list] = defaultdict(list)
     for r in sets.collect():  # bounded by item_shingles
         kinds[r["words"]].append((r["item_id"], np.array(r["shingles"], np.int64).view(np.uint64)))
+    discard(sets)
     shared = spark.sparkContext.broadcast(dict(kinds))
     fields = ["doc_id", "item_id", "n_shared", "n_item"]
 

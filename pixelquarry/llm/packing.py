@@ -47,7 +47,7 @@ def pieces_of(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str | None =
     """Whole texts as pieces of at most one sequence: (doc_id, piece, start, length, ids_crc32[, ids])."""
 
     def cut(batches):
-        for b in sliced(batches):
+        for b in sliced(batches, owner="tokens"):
             rows: dict[str, list] = {f.name: [] for f in schema}
             for doc_id, ids in zip(b["doc_id"].to_pylist(), encode_all(b["text"].to_pylist(), tokenizer, end_id), strict=True):
                 n, view = len(ids) // 4, memoryview(ids)

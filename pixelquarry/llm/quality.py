@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, mix, table
+from .common import fresh, mix, table, trim
 
 QUERY = "op6_subword_quality"
 ORACLE_SQL = None  # a trained model
@@ -41,7 +41,7 @@ NGRAMS = (3, 4, 5)
 PASSES, LEAST_STEPS, RATE = 4, 12_000, 0.5
 THRESHOLD = 0.3
 #: Words that a worker remembers (the table is emptied when full), and texts whose words it holds at once.
-CACHED_WORDS, SLICE = 500_000, 128
+CACHED_WORDS, SLICE = 250_000, 128
 _P = np.uint64(0x100000001B3)
 #: Buckets of the end mark, and of a word's distances; buckets before the hashed ones.
 END, NEVER, LAST_SAID, FIXED = 0, 1, 2, 32
@@ -228,6 +228,7 @@ def scored(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         if not kept:
+            trim()
             kept.append(Scorer(*shared.value))
         return pd.Series(kept[0].scores(texts.tolist()))
 

@@ -21,9 +21,11 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from .common import KEPT
+
 TOKENIZER, END_ID = "byte_bpe_50k.json", 0
 #: Entries of each table in one Python worker; a full one is emptied, so memory stays bounded.
-CACHED, KEPT_CHARS = 800_000, 40
+CACHED, KEPT_CHARS = 400_000, 40
 _LAST = 0x2AF
 
 
@@ -100,7 +102,7 @@ def plain(tokenizer: Tokenizer) -> bool:
         and cutter.get("use_regex", True)
         and not cutter.get("add_prefix_space")
         and not any(said.get(k) for k in ("normalizer", "truncation", "padding"))
-        and all(t in tokenizer.get_vocab() for t in _LETTERS_USED)
+        and all(t in model["vocab"] for t in _LETTERS_USED)
     )
 
 
@@ -125,6 +127,7 @@ class Encoder:
 
 
 _ENCODERS: dict[str | None, Encoder] = {}
+KEPT["tokens"] = _ENCODERS.clear
 
 
 def encoder(path: str | None = None) -> Encoder:
