@@ -190,3 +190,9 @@ def halved(source: str) -> str:
     sums = ", ".join([*(f"sum(({c} / 255e0) * (a / 255e0)) / 4 AS {c}" for c in "rgb"), "sum(a / 255e0) / 4 AS a"])
     met = f"SELECT image_id, 0 AS frame_no, CAST(floor(y / 2e0) AS INT) AS y, CAST(floor(x / 2e0) AS INT) AS x, {sums} FROM {source} AS s GROUP BY image_id, floor(y / 2e0), floor(x / 2e0)"
     return f"SELECT image_id, frame_no, y, x, {', '.join(f'{_byte(f'CASE WHEN a > 0 THEN {c} / a ELSE {c} END')} AS {c}' for c in 'rgb')}, {_byte('a')} AS a FROM ({met}) AS met"
+
+
+def cropped_to(source: str, edges: str, least: int) -> str:
+    """Each image cropped to the box of the edges that are as bright; its last row and column are left out, but for the only one. Images without such edges stay whole."""
+    box = f"SELECT image_id, frame_no, min(x) AS x0, min(y) AS y0, greatest(1, max(x) - min(x)) AS w, greatest(1, max(y) - min(y)) AS h FROM ({edges}) AS e WHERE floor(0.2126e0 * r + 0.7152e0 * g + 0.0722e0 * b + 0.5e0) >= {least} GROUP BY image_id, frame_no"
+    return f"SELECT p.image_id, p.frame_no, p.y - coalesce(q.y0, 0) AS y, p.x - coalesce(q.x0, 0) AS x, p.r, p.g, p.b, p.a FROM {source} AS p LEFT JOIN ({box}) AS q ON q.image_id = p.image_id AND q.frame_no = p.frame_no WHERE q.w IS NULL OR (p.x >= q.x0 AND p.x < q.x0 + q.w AND p.y >= q.y0 AND p.y < q.y0 + q.h)"

@@ -65,7 +65,7 @@ FRAMES = {
     "quantize_websafe": _q(P.quantize, P.websafe()),
     **{f"ordered_dither_{n}": _q(P.ordered_dither, COLOURS, n) for n in (2, 3, 4, 8, 16)},
     "oil_paint": (_kernel(C.oil_paint, 10, 7), lambda s: O.painted(s, 10, 7)),
-    "entropy_crop": (_kernel(C.entropy_crop, 0.9), None),
+    "entropy_crop": (_kernel(C.entropy_crop, 0.9), lambda s: O.cropped_to(s, N.edges_two_way.sql(s, C.SOBEL_X, C.SOBEL_Y, False), 230)),
     "rotate_30": (_kernel(R.rotate, 30.0), lambda s: O.rotated(s, 30.0)),
     "skew": (_kernel(R.skew, 12.0, 7.0), lambda s: O.skewed(s, 12.0, 7.0)),
     "transform_affine": (_kernel(R.transform_by, R.Builder().scale(1.2, 0.8).rotate(15.0).translate(2, 3)), lambda s: O.scaled_turned_moved(s, 1.2, 0.8, 15.0, 2, 3)),
