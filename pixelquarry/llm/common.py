@@ -17,8 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE_WORDS = 5
-#: Distinct words whose hashes one Python worker keeps; the table is emptied when full, so memory stays bounded.
-CACHED_WORDS = 400_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -148,21 +146,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-class WordHashes(dict):
-    """word bytes -> 64-bit hash, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """A-Z lower-cased, split at the six ASCII white-space characters; null gives no words."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Bijective scrambling of uint64, so that low bits and order are even."""
     h = h ^ (h >> np.uint64(32))
@@ -180,14 +163,6 @@ def rolled(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out + np.uint64(n))
 
 
-def shingle_hashes(words: list[bytes], cache: WordHashes, n: int = SHINGLE_WORDS) -> np.ndarray:
-    """Hashes of all n-word shingles in order, repeats kept; with fewer words, of the whole sequence; none without words."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-    return rolled(h, min(n, len(words)))
-
-
 # Hashing the words of a whole text at once: a sum of random numbers by byte, times powers of an odd number by place.
 _BY_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _MULT)
 _BY_BYTE[65:91] = _BY_BYTE[97:123]  # A-Z as a-z
@@ -206,7 +181,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the words in order, split and lower-cased as words_of() does."""
+    """64-bit hashes of the words in order, A-Z lower-cased, split at the six ASCII white-space characters; none for a null text."""
     if not text:
         return np.empty(0, np.uint64)
     b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, WordHashes, discard, fresh, hits, marked, materialize, row_keys, shingle_hashes, sliced, table, without_rows, words_of
+from .common import SHINGLE_WORDS, discard, fresh, hits, marked, materialize, rolled, row_keys, sliced, table, without_rows, word_hashes
 
 QUERY = "op10_minhash_containment"
 #: In hundredths, so that the comparison is exact.
@@ -66,9 +66,8 @@ def item_sets(items: DataFrame) -> DataFrame:
     """(item_id, words, shingles): words in a shingle, and the distinct hashes, smallest first."""
 
     def hashed(batches):
-        cache = WordHashes()
-        for b in batches:
-            rows = [(i, min(SHINGLE_WORDS, len(w)), np.unique(shingle_hashes(w, cache)).view(np.int64)) for i, w in zip(b["item_id"].to_pylist(), map(words_of, b["text"].to_pylist()), strict=True) if w]
+        for b in sliced(batches):
+            rows = [(i, min(SHINGLE_WORDS, len(w)), np.unique(rolled(w, min(SHINGLE_WORDS, len(w)))).view(np.int64)) for i, w in zip(b["item_id"].to_pylist(), map(word_hashes, b["text"].to_pylist()), strict=True) if len(w)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["item_id", "words", "shingles"])
 
@@ -138,13 +137,13 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = CONTAINMENT, ite
     fields = ["doc_id", "item_id", "n_shared", "n_item"]
 
     def search(batches):
-        cache, indexes = WordHashes(), {n: Index(found, percent) for n, found in shared.value.items()}
+        indexes = {n: Index(found, percent) for n, found in shared.value.items()}
         for b in sliced(batches):
             rows = []
-            for doc_id, words in zip(b["doc_id"].to_pylist(), map(words_of, b["text"].to_pylist()), strict=True):
+            for doc_id, words in zip(b["doc_id"].to_pylist(), map(word_hashes, b["text"].to_pylist()), strict=True):
                 for n, index in indexes.items():
                     if len(words) >= n:
-                        rows += [(doc_id, *hit) for hit in index.search(shingle_hashes(words, cache, n))]
+                        rows += [(doc_id, *hit) for hit in index.search(rolled(words, n))]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], fields)
 
     return picked.mapInArrow(search, "doc_id long, item_id long, n_shared long, n_item long")
@@ -155,13 +154,12 @@ def _joined(docs: DataFrame, sets: DataFrame, percent: int, kinds: list[int]) ->
     bits = marked(sets.select(F.explode("shingles").alias("shingle")), hashed=True)
 
     def hashed(batches):
-        cache = WordHashes()
         for b in sliced(batches):
             cols: list[list] = [[], [], [], []]
-            for doc_id, row, words in zip(b["doc_id"].to_pylist(), b["row"].to_pylist(), map(words_of, b["text"].to_pylist()), strict=True):
+            for doc_id, row, words in zip(b["doc_id"].to_pylist(), b["row"].to_pylist(), map(word_hashes, b["text"].to_pylist()), strict=True):
                 for n in kinds:
                     if len(words) >= n:
-                        h = np.unique(shingle_hashes(words, cache, n)).view(np.int64)
+                        h = np.unique(rolled(words, n)).view(np.int64)
                         h = h[hits(h, bits.value)]
                         for c, v in zip(cols, ([doc_id] * len(h), [row] * len(h), [n] * len(h), h.tolist()), strict=True):
                             c += v

@@ -24,7 +24,7 @@ class only, every document gets that class's share (or 0.5); further columns are
 kept by ``reject`` and ignored by the query.
 """
 
-from __future__ import annotations
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,7 +41,7 @@ NGRAMS = (3, 4, 5)
 PASSES, LEAST_STEPS, RATE = 4, 12_000, 0.5
 THRESHOLD = 0.3
 #: Words that a worker remembers (the table is emptied when full), and texts whose words it holds at once.
-CACHED_WORDS, SLICE = 250_000, 128
+CACHED_WORDS, SLICE = 200_000, 128
 _P = np.uint64(0x100000001B3)
 #: Buckets of the end mark, and of a word's distances; buckets before the hashed ones.
 END, NEVER, LAST_SAID, FIXED = 0, 1, 2, 32
@@ -223,14 +223,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
 def scored(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     """docs with one more column, the likelihood of label 1; a column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast((model.gain, model.scale, model.prior))
-    kept: list[Scorer] = []
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        if not kept:
-            trim()
-            kept.append(Scorer(*shared.value))
-        return pd.Series(kept[0].scores(texts.tolist()))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        trim()
+        scorer = Scorer(*shared.value)
+        for texts in batches:
+            yield pd.Series(scorer.scores(texts.tolist()))
+        del scorer
+        trim()
 
     return docs.withColumn(out, score("text"))
 

@@ -25,7 +25,7 @@ from .common import KEPT
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 0
 #: Entries of each table in one Python worker; a full one is emptied, so memory stays bounded.
-CACHED, KEPT_CHARS = 400_000, 40
+CACHED, KEPT_CHARS = 300_000, 40
 _LAST = 0x2AF
 
 
