@@ -246,12 +246,20 @@ def _side(sets: DataFrame, side: str, columns: list[str]) -> DataFrame:
     return sets.select(F.col("cid").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns))
 
 
+def _apart() -> Column:
+    """The bits in which a_bits and b_bits differ."""
+    return F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def _bits_allow(apart: Column, n_a: Column, n_b: Column, percent: int) -> Column:
+    """|A| + |B| - 2 * shared >= apart, and (100 + percent) * shared >= percent * (|A| + |B|)"""
+    return (100 + percent) * apart <= (100 - percent) * (n_a + n_b)
+
+
 def _by_bits(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), those whose bitmaps allow the similarity: (a, b, apart), apart being the bits in which they differ."""
     met = pairs.join(_side(sets, "a", ["n", "bits"]), "a").join(_side(sets, "b", ["n", "bits"]), "b")
-    apart = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    # |A| + |B| - 2 * shared >= apart, and (100 + percent) * shared >= percent * (|A| + |B|)
-    return met.withColumn("apart", apart).filter((100 + percent) * F.col("apart") <= (100 - percent) * (F.col("a_n") + F.col("b_n"))).select("a", "b", "apart")
+    return met.withColumn("apart", _apart()).filter(_bits_allow(F.col("apart"), F.col("a_n"), F.col("b_n"), percent)).select("a", "b", "apart")
 
 
 def _by_orders(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -351,10 +359,14 @@ def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFram
             met = minor.join(some, (F.col("token") == F.col("token_b")) & _near(F.col("at_a"), F.col("at_b"), percent)).select("a", "b").distinct()
             new = _by_orders(_nearest(_by_bits(met, few, percent)), few)
         else:
-            other = rest.select(F.col("token").alias("token_b"), F.col("cid").alias("b"), F.col("at").alias("at_b"), F.col("label").alias("label_b"), (F.col("label") == F.col("major")).alias("of_major"))
+            # here groups are met as a whole, so the bitmaps go along and are a condition of the join
+            bits = few.select(F.col("cid").alias("b"), F.col("bits").alias("b_bits"))
+            minor = minor.join(bits.withColumnsRenamed({"b": "a", "b_bits": "a_bits"}), "a")
+            other = rest.select(F.col("token").alias("token_b"), F.col("cid").alias("b"), F.col("at").alias("at_b"), F.col("label").alias("label_b"), (F.col("label") == F.col("major")).alias("of_major")).join(bits, "b")
             once = F.col("of_major") | (F.col("a") < F.col("b"))
-            met = minor.join(other, (F.col("token") == F.col("token_b")) & (F.col("label_a") != F.col("label_b")) & once & _near(F.col("at_a"), F.col("at_b"), percent))
-            new = _candidates(met.select("a", "b").distinct(), few, percent).select("a", "b")
+            alike = _near(F.col("at_a"), F.col("at_b"), percent) & _bits_allow(_apart(), _size("at_a"), _size("at_b"), percent)
+            met = minor.join(other, (F.col("token") == F.col("token_b")) & (F.col("label_a") != F.col("label_b")) & once & alike)
+            new = _by_orders(met.select("a", "b").distinct(), few)
         if seed == 1:  # pairs of other groups that aren't in one component yet
             new = new.unionByName(_labelled(near, labels).filter("label_a <> label_b").select("a", "b"))
         labels = materialize(_relabelled(labels, _verified(new, sets, percent)), "labels")

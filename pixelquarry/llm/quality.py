@@ -217,7 +217,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
         return Model([], [])
     chosen = docs.sparkSession.createDataFrame(sizes[["doc_id", "n", "label"]].drop_duplicates(), "doc_id long, n int, label int")
     found = texts.join(F.broadcast(chosen), ["doc_id", "n"]).orderBy(F.xxhash64("doc_id"), "doc_id", "label", "text").limit(len(sizes)).toPandas()
-    return Model(found["text"].tolist(), found["label"].tolist())
+    model = Model(found["text"].tolist(), found["label"].tolist())
+    del found, sizes
+    trim()  # the driver goes on to other stages
+    return model
 
 
 def scored(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
