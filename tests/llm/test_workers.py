@@ -1,5 +1,6 @@
 """Python workers stay on an executor once they began: as many as a task runs side by side, for each kind of use."""
 
+import corpus_pipeline
 import pytest
 from pixelquarry.llm import line_dedup, packing, quality, tokens
 from pyspark import SparkContext
@@ -30,6 +31,16 @@ def test_line_dedup_runs_one_worker_in_a_task(spark):
     assert side_by_side(done._jdf.queryExecution().executedPlan()) == 1
 
 
+def test_line_dedup_stage_runs_one_worker_in_a_task_whose_lines_are_filtered_afterwards(spark):
+    passage = "\n".join(" ".join(f"l{k}w{j}" for j in range(12)) for k in range(6))
+    docs = spark.createDataFrame([(i, f"start {i}\n{passage}\nend {i}" if i else passage, 7) for i in range(20)] + [(20, passage, 7), (21, None, 7), (22, "", 7)], "doc_id long, text string, n_chars int")
+    done = corpus_pipeline.line_dedup_stage(spark, docs, "")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in done.collect()}
+    left = {i: f"start {i}\nend {i}" for i in range(1, 20)}
+    assert got == {0: (passage, 7), 21: (None, 7), 22: ("", 7)} | {i: (t, len(t)) for i, t in left.items()}
+    assert side_by_side(done._jdf.queryExecution().executedPlan()) == 1
+
+
 def test_quality_sample_needs_no_workers_of_rdds(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "good words here" if i % 2 else "BUY NOW") for i in range(60)], "doc_id long, text string").persist()
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int").persist()
