@@ -3,8 +3,10 @@
 import numpy as np
 import pytest
 from pixelquarry import frames
+from pixelquarry.kernels import convolve
 from pixelquarry.plans import registry
 
+KERNELS = "diffuse_burks oil_paint edges_laplacian_3x3 edges_kirsch edges_laplacian_5x5 gaussian_sharpen resize_min resize_crop_top resize_robidoux resize_spline resize_bicubic quantize_tree chain_blur_edges adaptive_threshold".split()
 CLONES = [name for name in registry.queries() if name.startswith("clone_as_")]
 
 
@@ -28,12 +30,37 @@ def made(spark, *shapes):
     return rows, spark.createDataFrame(frames.batch_of(rows).to_pandas(), frames.DDL)
 
 
-@pytest.mark.parametrize("group", [CLONES], ids=["clones"])
+@pytest.mark.parametrize("group", [CLONES, KERNELS], ids=["clones", "kernels"])
 def test_a_task_of_a_query_has_one_worker(spark, group):
     queries = registry.queries()
     assert {name: workers(queries[name](spark, "/root/testdata/sf0.001")) for name in group} == dict.fromkeys(group, 1)
 
 
+def test_what_is_cached_or_filtered_is_not_run_again_by_the_next_step(spark):
+    _, table = made(spark, (4, 6), (5, 5))
+    kept = frames.process(table, convolve.box_blur, 1).cache()
+    assert kept.count() == 2
+    plan = frames.explode(kept)._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" in plan
+    one = frames.process(table, convolve.box_blur, 1).filter("image_id = 1")
+    assert frames.explode(one).count() == 25
+
+
+def test_a_kernel_gets_parts_of_a_batch(spark):
+    def sizes(v):
+        raise AssertionError
+
+    sizes.many = lambda v: np.full(v.shape, len(v) / 1000)
+    def given(n, side):
+        many = spark.range(n, numPartitions=1).selectExpr("id AS image_id", "0 AS frame_no", f"{side} AS width", f"{side} AS height", f"CAST(repeat('abcd', {side * side}) AS BINARY) AS pixels")
+        got = frames.process(many, sizes).selectExpr("image_id", "conv(hex(substring(pixels, 1, 1)), 16, 10) / 255 * 1000 AS n").collect()
+        assert sorted(r["image_id"] for r in got) == list(range(n))
+        return max(r["n"] for r in got)
+
+    assert given(800, 32) < 260
+    assert 24 < given(60, 200) < 30  # larger frames still come together
+
+
 def test_pixels_of_a_large_frame_leave_in_parts(spark):
     rows, table = made(spark, (301, 299), (2, 3))
     at = {(r["image_id"], r["y"], r["x"]): (r["r"], r["g"], r["b"], r["a"]) for r in frames.explode(table).collect()}
