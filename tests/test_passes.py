@@ -5,9 +5,11 @@ import pytest
 from pixelquarry import frames
 from pixelquarry.kernels import convolve
 from pixelquarry.plans import registry
+from pixelquarry.sources import files
 
 KERNELS = "diffuse_burks oil_paint edges_laplacian_3x3 edges_kirsch edges_laplacian_5x5 gaussian_sharpen resize_min resize_crop_top resize_robidoux resize_spline resize_bicubic quantize_tree chain_blur_edges adaptive_threshold".split()
 CLONES = [name for name in registry.queries() if name.startswith("clone_as_")]
+FILES = [name for name in registry.queries() if name.startswith("round_trip_")] + ["first_frames_target_size"]
 
 
 def side_by_side(node, above=0):
@@ -30,12 +32,27 @@ def made(spark, *shapes):
     return rows, spark.createDataFrame(frames.batch_of(rows).to_pandas(), frames.DDL)
 
 
-@pytest.mark.parametrize("group", [CLONES, KERNELS], ids=["clones", "kernels"])
+@pytest.mark.parametrize("group", [CLONES, KERNELS, FILES], ids=["clones", "kernels", "files"])
 def test_a_task_of_a_query_has_one_worker(spark, group):
     queries = registry.queries()
     assert {name: workers(queries[name](spark, "/root/testdata/sf0.001")) for name in group} == dict.fromkeys(group, 1)
 
 
+def test_steps_that_share_a_pass_give_what_they_give_alone(spark):
+    _, table = made(spark, (4, 6), (5, 5), (1, 1))
+    px = frames.explode(table).cache()
+    steps = [frames.assemble, lambda d: frames.process(d, convolve.box_blur, 1), lambda d: files.encode(d, "png"), files.decode, lambda d: frames.clone_as(d, "Bgra4444"), lambda d: frames.clone_as(d, "Rgba32"), frames.explode]
+    shared = alone = px
+    for step in steps:
+        shared = step(shared)
+    assert workers(shared) == 1
+    got = sorted(shared.collect())
+    for step in steps:
+        alone = step(alone).cache()
+        alone.count()
+    assert len(got) == 24 + 25 + 1 and got == sorted(alone.collect())
+
+
 def test_what_is_cached_or_filtered_is_not_run_again_by_the_next_step(spark):
     _, table = made(spark, (4, 6), (5, 5))
     kept = frames.process(table, convolve.box_blur, 1).cache()
@@ -44,6 +61,8 @@ def test_what_is_cached_or_filtered_is_not_run_again_by_the_next_step(spark):
     assert "InMemoryTableScan" in plan
     one = frames.process(table, convolve.box_blur, 1).filter("image_id = 1")
     assert frames.explode(one).count() == 25
+    with pytest.raises(Exception, match="UNRESOLVED_COLUMN"):
+        frames.explode(files.encode(table, "png"))
 
 
 def test_a_kernel_gets_parts_of_a_batch(spark):
